@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.operators.order_stats import average_ranks, running_sums
+from panelcast.operators.order_stats import average_ranks, has_hot_key, running_sums
 
 TINY = 1e-10
 
@@ -17,13 +17,15 @@ def ratio(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0.0))
 
 
-def spearman(pairs: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+def spearman(pairs: DataFrame, keys: Sequence[str], x: str, y: str, hot: bool | None = None) -> DataFrame:
     """(keys, n, spearman): Pearson of average ranks; 0 when either side is constant."""
     keys = list(keys)
     rows = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     joint = rows.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("_w"))
-    rx = average_ranks(rows, keys, x, "_rx").withColumnRenamed("n", "_n")
-    ry = average_ranks(rows, keys, y, "_ry").drop("n")
+    if hot is None:
+        hot = has_hot_key(rows, keys)
+    rx = average_ranks(rows, keys, x, "_rx", hot).withColumnRenamed("n", "_n")
+    ry = average_ranks(rows, keys, y, "_ry", hot).drop("n")
     both = joint.join(rx, [*keys, x]).join(ry, [*keys, y])
     w, mid = F.col("_w"), (F.col("_n") + 1) / 2
     a, b = F.col("_rx") - mid, F.col("_ry") - mid

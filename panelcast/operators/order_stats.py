@@ -1,10 +1,11 @@
 """Exact order statistics whose largest task stays bounded when one key holds most rows.
 
-Sorting a whole key inside one window task (or keeping all its values in one
-``percentile`` buffer) breaks when a key holds a third of the data. The helpers
-here collapse ties first (map-side combined counts), cut every key into value
-buckets whose edges come from a deterministic bottom-k hash sample, run the
-window inside one bucket at a time, and add the bucket offsets afterwards.
+Every helper first checks the largest key with a map-side combined count. If all
+keys are small, a plain window or the built-in exact percentile does the work in
+one shuffle. Otherwise sorting a whole key inside one task would not hold: ties
+are collapsed into counts, every key is cut into value buckets whose edges come
+from a deterministic bottom-k hash sample, the window runs inside one bucket at a
+time, and bucket offsets are added afterwards. Both ways give the same result.
 """
 
 from __future__ import annotations
@@ -14,7 +15,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
+HOT_ROWS = 2_000_000
+
+
+def has_hot_key(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> bool:
+    """Whether some key has more rows than one task should sort."""
+    return not df.groupBy(*keys).count().where(F.col("count") > hot_rows).isEmpty()
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -49,16 +55,29 @@ def with_bucket(df: DataFrame, value: str, edges: DataFrame, n: int, out: str =
 
 
 def running_sums(
-    df: DataFrame, keys: Sequence[str], value: str, sums: Mapping[str, Column]
+    df: DataFrame, keys: Sequence[str], value: str, sums: Mapping[str, Column], hot: bool | None = None
 ) -> DataFrame:
-    """Per (keys, value): each sum, its total over smaller values (``*_before``) and over the key (``*_total``)."""
+    """Per (keys, value): each sum, its total over smaller values (``*_before``) and over the key (``*_total``).
+
+    ``hot`` is the known answer of :func:`has_hot_key`, when the caller has it.
+    """
     keys = list(keys)
     names = list(sums)
+    if hot is None:
+        hot = has_hot_key(df, keys)
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, value)
         .agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     )
+    if not hot:
+        whole = Window.partitionBy(*keys)
+        smaller = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return counts.select(
+            *keys, value, *names,
+            *[F.coalesce(F.sum(s).over(smaller), F.lit(0)).alias(f"{s}_before") for s in names],
+            *[F.sum(s).over(whole).alias(f"{s}_total") for s in names],
+        )
     n = bucket_count(df)
     cut = with_bucket(counts, value, split_points(counts, keys, value, n), n)
     inside = Window.partitionBy(*keys, "_bucket").orderBy(value)
@@ -85,9 +104,11 @@ def running_sums(
     )
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+def average_ranks(
+    df: DataFrame, keys: Sequence[str], value: str, out: str, hot: bool | None = None
+) -> DataFrame:
     """Average-tie rank of every distinct value inside its key, plus the key size ``n``."""
-    runs = running_sums(df, keys, value, {"cnt": F.lit(1)})
+    runs = running_sums(df, keys, value, {"cnt": F.lit(1)}, hot)
     rank = F.col("cnt_before") + (F.col("cnt") + 1) / 2
     return runs.select(*keys, value, rank.alias(out), F.col("cnt_total").alias("n"))
 
@@ -101,19 +122,17 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolation quantiles per key; null values are skipped.
 
-    Keys up to ``hot_rows`` rows use the built-in exact aggregate. Larger keys
-    (at most rows / hot_rows of them) go through :func:`running_sums`. With no hot
-    key the adaptive planner drops that branch.
+    Keys up to ``hot_rows`` rows use the built-in exact aggregate; larger keys (at
+    most rows / hot_rows of them) go through :func:`running_sums`.
     """
     keys = list(keys)
-    rows = df.where(F.col(value).isNotNull())
-    # The one pass over the input; both branches below reuse its shuffle.
-    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_cnt"))
-    sizes = counts.groupBy(*keys).agg(F.sum("_cnt").alias("_n"))
-    hot = sizes.where(F.col("_n") > hot_rows).select(*keys)
-    quantiles = [F.percentile(value, q, F.col("_cnt")).alias(name) for name, q in probs.items()]
-    cold = counts.join(hot, keys, "left_anti").groupBy(*keys).agg(*quantiles)
-    runs = running_sums(counts.join(hot, keys, "left_semi"), keys, value, {"cnt": F.col("_cnt")})
+    rows = df.where(F.col(value).isNotNull()).select(*keys, value)
+    quantiles = [F.percentile(value, q).alias(name) for name, q in probs.items()]
+    hot = rows.groupBy(*keys).count().where(F.col("count") > hot_rows).select(*keys)
+    if hot.isEmpty():
+        return rows.groupBy(*keys).agg(*quantiles)
+    cold = rows.join(hot, keys, "left_anti").groupBy(*keys).agg(*quantiles)
+    runs = running_sums(rows.join(hot, keys, "left_semi"), keys, value, {"cnt": F.lit(1)}, hot=True)
     picks, final = [], []
     for name, q in probs.items():
         pos = (F.col("cnt_total") - 1) * F.lit(float(q))
@@ -129,13 +148,17 @@ def exact_quantiles(
 
 
 def number_in_order(
-    df: DataFrame, keys: Sequence[str], order: str, tie: str, out: str = "pos"
+    df: DataFrame, keys: Sequence[str], order: str, tie: str, out: str = "pos", hot: bool | None = None
 ) -> DataFrame:
     """0-based position by an md5 hex column inside each key, without sorting a key in one task.
 
     Hex prefixes of a hash are equally full, so they serve as ready-made range buckets.
     """
     keys = list(keys)
+    if hot is None:
+        hot = has_hot_key(df, keys)
+    if not hot:
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(order, tie)) - 1)
     chars = {16: 1, 32: 2, 64: 2, 128: 2, 256: 2}.get(bucket_count(df), 3)
     cut = df.withColumn("_bucket", F.substring(order, 1, chars))
     rn = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(order, tie))

@@ -69,13 +69,14 @@ class Panel:
     def build_panel(self) -> DataFrame:
         orders = reshape.load_longitudinal(self.raw_orders, "entity_id", "event_id", ORDER_MEASURES, "state")
         items = reshape.load_longitudinal(self.raw_items, "entity_id", "event_id", ITEM_MEASURES)
-        low = items.where("measure = 'QUANTITY'").select(
-            "entity_id", "visit", F.lit("LOW_QUANTITY").alias("measure"),
+        cell = F.struct("measure", "value")
+        flag = F.struct(
+            F.lit("LOW_QUANTITY").alias("measure"),
             (F.col("value") < spec.IMPAIRMENT_CUTOFF).cast("double").alias("value"),
         )
-        both = orders.withColumn("modality", F.lit("orders")).unionByName(
-            items.unionByName(low).withColumn("modality", F.lit("lineitem"))
-        )
+        cells = F.when(F.col("measure") == "QUANTITY", F.array(cell, flag)).otherwise(F.array(cell))
+        items = items.select("entity_id", "visit", F.inline(cells))
+        both = orders.withColumn("modality", F.lit("orders")).unionByName(items.withColumn("modality", F.lit("lineitem")))
         return both.join(self.cohort, "entity_id", "left_semi").select("entity_id", "modality", "visit", "measure", "value")
 
     @cached_property

@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pytest
 
 from panelcast.operators import order_stats as o
 
@@ -24,9 +25,10 @@ def test_quantiles_agree_on_both_paths(spark):
         assert np.allclose(got[list(probs)].values, want.sort_index().values)
 
 
-def test_average_ranks_match_pandas(spark):
+@pytest.mark.parametrize("hot", [True, False, None])
+def test_average_ranks_match_pandas(spark, hot):
     pdf, df = _frame(spark)
-    got = o.average_ranks(df, ["k"], "v", "r").toPandas()
+    got = o.average_ranks(df, ["k"], "v", "r", hot).toPandas()
     pdf["r"] = pdf.groupby("k")["v"].rank(method="average")
     want = pdf.drop_duplicates(["k", "v"])
     both = got.merge(want, on=["k", "v"], suffixes=("", "_w"))
@@ -34,10 +36,11 @@ def test_average_ranks_match_pandas(spark):
     assert np.allclose(both["r"], both["r_w"])
 
 
-def test_positions_are_a_permutation(spark):
+@pytest.mark.parametrize("hot", [True, False])
+def test_positions_are_a_permutation(spark, hot):
     from pyspark.sql import functions as F
 
     _, df = _frame(spark)
     df = df.withColumn("id", F.monotonically_increasing_id()).withColumn("h", F.md5(F.col("id").cast("string")))
-    got = o.number_in_order(df, ["k"], "h", "id").toPandas().sort_values(["k", "h"])
+    got = o.number_in_order(df, ["k"], "h", "id", hot=hot).toPandas().sort_values(["k", "h"])
     assert (got.groupby("k").cumcount() == got["pos"]).all()
