@@ -14,8 +14,9 @@ def train_summary(folds: DataFrame) -> DataFrame:
     At most seeds x folds rows per task, whatever the input size.
     """
     y = F.col("y")
+    # Decimal sums do not depend on summation order, so a retried task gives the same mean.
     per_fold = folds.groupBy(*KEYS).agg(
-        F.sum(y).alias("s"), F.count(y).alias("c"), F.count_if(y == 1).alias("p")
+        F.sum(y.cast("decimal(28,8)")).alias("s"), F.count(y).alias("c"), F.count_if(y == 1).alias("p")
     )
     total = per_fold.groupBy("task_key", "seed").agg(
         F.sum("s").alias("ts"), F.sum("c").alias("tc"), F.sum("p").alias("tp")
@@ -23,7 +24,7 @@ def train_summary(folds: DataFrame) -> DataFrame:
     out = per_fold.join(total, ["task_key", "seed"])
     n = F.col("tc") - F.col("c")
     return out.select(
-        *KEYS, n.alias("n_train"), ((F.col("ts") - F.col("s")) / n).alias("train_mean"),
+        *KEYS, n.alias("n_train"), ((F.col("ts") - F.col("s")).cast("double") / n).alias("train_mean"),
         (F.col("tp") - F.col("p")).alias("n_pos"),
     )
 

@@ -201,11 +201,11 @@ def ranking_metrics(pred: DataFrame, keys: Sequence[str], y: str = "y", yhat: st
 
 
 def metric_divergence(scores: DataFrame, r2_below: float = 0.02, rho_above: float = 0.05) -> DataFrame:
-    """Model pairs of a task that agree in R2 but differ in Spearman."""
+    """Model pairs of a task; ``diverges`` where they agree in R2 but differ in Spearman."""
     cols = ["model", "r2", "spearman"]
     a = scores.select("task_key", *[F.col(c).alias(f"{c}_a") for c in cols])
     b = scores.select("task_key", *[F.col(c).alias(f"{c}_b") for c in cols])
     d_r2, d_rho = F.abs(F.col("r2_a") - F.col("r2_b")), F.abs(F.col("spearman_a") - F.col("spearman_b"))
     both = a.join(b, "task_key").where("model_a < model_b")
     both = both.withColumn("delta_r2", d_r2).withColumn("delta_spearman", d_rho)
-    return both.where((F.col("delta_r2") < r2_below) & (F.col("delta_spearman") > rho_above))
+    return both.withColumn("diverges", (F.col("delta_r2") < r2_below) & (F.col("delta_spearman") > rho_above))

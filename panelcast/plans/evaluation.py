@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.operators import metrics
-from panelcast.plans.panel import SQL_FOLDS, SQL_PRED, SQL_SCORES, SQL_TASKS, Panel, fold_scores, with_task
+from panelcast import spec
+from panelcast.models import naive
+from panelcast.operators import folds as fold_ops
+from panelcast.operators import metrics, normalise
+from panelcast.plans.panel import (
+    SQL_FOLDS, SQL_HISTORY, SQL_PANEL, SQL_PRED, SQL_RAW, SQL_SCORES, SQL_STATIC, SQL_TASKS, Panel, fold_scores, with_task,
+)
 from panelcast.plans.registry import query, rnd
+from panelcast.sources.stage import staged
 from panelcast.sources.tables import Tables
 
 METRICS = ["r2", "spearman", "mae", "rmse", "pearson"]
@@ -59,3 +65,293 @@ def cv_aggregate(t: Tables) -> DataFrame:
 @query("stratified_kfold", f"WITH {SQL_FOLDS} SELECT task_key, seed, entity_id, stratum, fold FROM folds")
 def stratified_kfold(t: Tables) -> DataFrame:
     return Panel(t).folds().select("task_key", "seed", "entity_id", "stratum", "fold")
+
+
+# --- task construction ------------------------------------------------------------
+
+
+@query("load_longitudinal", f"WITH {SQL_PANEL} SELECT entity_id, modality, visit, months, measure, round(value, 4) AS value FROM panel JOIN calendar USING (visit)")
+def load_longitudinal(t: Tables) -> DataFrame:
+    rows = Panel(t).panel.join(F.broadcast(spec.calendar(t.spark)), "visit")
+    return rows.select("entity_id", "modality", "visit", "months", "measure", rnd("value", 4).alias("value"))
+
+
+def _targets_query(t: Tables, rule: str) -> DataFrame:
+    names = [x.name for x in spec.ORDER_TARGETS if x.rule == rule]
+    rows = Panel(t).target_values.where(F.col("target").isin(names))
+    return rows.select("target", "horizon", "entity_id", rnd("y", 4).alias("y"))
+
+
+def _sql_targets(rule: str) -> str:
+    names = ", ".join(f"'{x.name}'" for x in spec.ORDER_TARGETS if x.rule == rule)
+    return f"WITH {SQL_TASKS} SELECT target, horizon, entity_id, round(y, 4) AS y FROM target_values WHERE target IN ({names})"
+
+
+@query("event_target_worsening", _sql_targets("worsen"))
+def event_target_worsening(t: Tables) -> DataFrame:
+    return _targets_query(t, "worsen")
+
+
+@query("event_target_impairment", f"WITH {SQL_PANEL} SELECT entity_id, visit, CAST(value < 26 AS DOUBLE) AS impaired FROM panel WHERE measure = 'QUANTITY'")
+def event_target_impairment(t: Tables) -> DataFrame:
+    rows = Panel(t).panel.where("measure = 'LOW_QUANTITY'")
+    return rows.select("entity_id", "visit", F.col("value").alias("impaired"))
+
+
+@query("rank_target", _sql_targets("rank"))
+def rank_target(t: Tables) -> DataFrame:
+    return _targets_query(t, "rank")
+
+
+@query("construct_task", f"""WITH {SQL_TASKS} SELECT task_key, entity_id, round(y, 4) AS y, count(*) AS n_values, round(sum(value), 4) AS value_sum,
+  min(feature) AS first_feature FROM features GROUP BY task_key, entity_id, y""")
+def construct_task(t: Tables) -> DataFrame:
+    f = Panel(t).features
+    return f.groupBy("task_key", "entity_id", rnd("y", 4).alias("y")).agg(
+        F.count(F.lit(1)).alias("n_values"), rnd(F.sum("value"), 4).alias("value_sum"), F.min("feature").alias("first_feature")
+    )
+
+
+@query("task_grid_filter", f"WITH {SQL_TASKS} SELECT task_key, count(*) AS n_total FROM tt GROUP BY 1")
+def task_grid_filter(t: Tables) -> DataFrame:
+    return Panel(t).targets.groupBy("task_key").agg(F.count(F.lit(1)).alias("n_total"))
+
+
+@query("leakage_check", f"""WITH {SQL_TASKS} SELECT f.task_key, max(c.months) AS last_feature_month, max(g.horizon_months) AS horizon_months,
+  count(*) FILTER (c.months >= g.horizon_months) AS n_violations FROM features f JOIN calendar c USING (visit) JOIN grid g ON g.task_key = f.task_key GROUP BY 1""")
+def leakage_check(t: Tables) -> DataFrame:
+    p = Panel(t)
+    rows = with_task(p.features.select("task_key", "visit"), t).join(F.broadcast(spec.calendar(t.spark)), "visit")
+    return rows.groupBy("task_key").agg(
+        F.max("months").alias("last_feature_month"), F.max("horizon_months").alias("horizon_months"),
+        F.count_if(F.col("months") >= F.col("horizon_months")).alias("n_violations"),
+    )
+
+
+@query("duplicate_check", f"WITH {SQL_RAW} SELECT entity_id, event_id, count(*) AS n FROM raw_orders GROUP BY ALL HAVING count(*) > 1")
+def duplicate_check(t: Tables) -> DataFrame:
+    rows = Panel(t).raw_orders.groupBy("entity_id", "event_id").agg(F.count(F.lit(1)).alias("n"))
+    return rows.where("n > 1")
+
+
+@query("static_merge", f"WITH {SQL_PANEL}, {SQL_STATIC} SELECT entity_id, modality || '__' || measure AS feature, value FROM static")
+def static_merge(t: Tables) -> DataFrame:
+    return Panel(t).static.select("entity_id", F.concat_ws("__", "modality", "measure").alias("feature"), "value")
+
+
+@query("strata_bins", f"WITH {SQL_FOLDS} SELECT task_key, entity_id, stratum FROM strata")
+def strata_bins(t: Tables) -> DataFrame:
+    p = Panel(t)
+    kinds = p.grid.select("task_key", (F.col("task_type") == "classification").alias("is_class"))
+    rows = fold_ops.with_strata(p.targets.join(F.broadcast(kinds), "task_key"), ["task_key"])
+    return rows.select("task_key", "entity_id", "stratum")
+
+
+@query("stratified_round_robin", f"WITH {SQL_FOLDS} SELECT task_key, seed, stratum, fold, count(*) AS n FROM folds GROUP BY ALL")
+def stratified_round_robin(t: Tables) -> DataFrame:
+    return Panel(t).all_folds.groupBy("task_key", "seed", "stratum", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+_SQL_INNER = f"""{SQL_FOLDS}, tr AS (SELECT f.task_key, f.task_type, f.seed, k.fold, f.entity_id, f.y FROM folds f, (SELECT unnest(range(5)) AS fold) k WHERE f.fold <> k.fold),
+iedges AS (SELECT task_key, seed, fold, quantile_cont(y, [0.2, 0.4, 0.6, 0.8]) AS e FROM tr WHERE task_type <> 'classification' GROUP BY ALL),
+istrata AS (SELECT tr.*, CASE WHEN task_type = 'classification' THEN CAST(y AS INT) ELSE (y >= round(e[1], 9))::INT + (y >= round(e[2], 9))::INT
+  + (y >= round(e[3], 9))::INT + (y >= round(e[4], 9))::INT END AS stratum FROM tr LEFT JOIN iedges USING (task_key, seed, fold)),
+inner_f AS (SELECT task_key, seed, CAST(fold AS INT) AS fold, entity_id, CAST((row_number() OVER (PARTITION BY task_key, seed, fold, stratum
+  ORDER BY md5('42|' || entity_id), entity_id) - 1) % 3 AS INT) AS inner_fold FROM istrata)"""
+
+
+@query("inner_kfold", f"WITH {_SQL_INNER} SELECT task_key, seed, fold, inner_fold, count(*) AS n, CAST(sum(entity_id) AS BIGINT) AS id_sum FROM inner_f GROUP BY ALL")
+def inner_kfold(t: Tables) -> DataFrame:
+    p = Panel(t)
+    rows = fold_ops.inner_folds(p.all_folds.drop("task_type"), p.grid)
+    return rows.groupBy("task_key", "seed", "fold", "inner_fold").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("entity_id").alias("id_sum")
+    )
+
+
+_SQL_NORM = f"""{SQL_FOLDS}, tv AS (SELECT f.task_key, k.fold, f.entity_id, x.feature, x.value FROM folds f
+    JOIN features x USING (task_key, entity_id), (SELECT unnest(range(5)) AS fold) k WHERE f.seed = 0 AND f.fold <> k.fold AND x.value IS NOT NULL),
+kinds AS (SELECT task_key, fold, feature, count(DISTINCT value) AS levels, bool_and(value IN (0, 1)) AS zero_one, bool_and(value = floor(value)) AS whole,
+    quantile_cont(value, 0.005) AS lo, quantile_cont(value, 0.995) AS hi, median(value) AS med FROM tv GROUP BY ALL),
+modes AS (SELECT task_key, fold, feature, value AS mode FROM (SELECT task_key, fold, feature, value, count(*) AS c FROM tv GROUP BY ALL)
+    QUALIFY row_number() OVER (PARTITION BY task_key, fold, feature ORDER BY c DESC, value) = 1),
+k2 AS (SELECT *, CASE WHEN zero_one THEN 'binary' WHEN levels <= 12 AND whole THEN 'ordinal' ELSE 'continuous' END AS kind FROM kinds),
+mom AS (SELECT task_key, fold, feature, avg(greatest(lo, least(hi, value))) AS mean, stddev_samp(greatest(lo, least(hi, value))) AS std
+    FROM tv JOIN k2 USING (task_key, fold, feature) WHERE kind = 'continuous' GROUP BY ALL),
+stats AS (SELECT k2.task_key, k2.fold, k2.feature, kind, CASE WHEN kind <> 'continuous' THEN mode END AS mode, CASE WHEN kind = 'continuous' THEN lo END AS lo,
+    CASE WHEN kind = 'continuous' THEN hi END AS hi, CASE WHEN kind = 'continuous' THEN med END AS median, mean, std
+  FROM k2 JOIN modes USING (task_key, fold, feature) LEFT JOIN mom USING (task_key, fold, feature))"""
+
+
+def norm_stats(t: Tables) -> DataFrame:
+    """Statistics of the first seed's folds, stored as a stage table."""
+    p = Panel(t)
+    first = p.all_folds.where(F.col("seed") == spec.CV_SEEDS[0])
+    return staged(t.spark, t.folder, "norm_stats", lambda: normalise.fit(normalise.training_values(p.features, first)))
+
+
+@query("normaliser_fit", f"""WITH {_SQL_NORM} SELECT task_key, CAST(fold AS INT) AS fold, feature, kind, round(mode, 4) AS mode, round(lo, 6) AS lo, round(hi, 6) AS hi,
+  round(median, 6) AS median, round(std, 3) AS std FROM stats""")
+def normaliser_fit(t: Tables) -> DataFrame:
+    s = norm_stats(t)
+    return s.select("task_key", "fold", "feature", "kind", rnd("mode", 4).alias("mode"), *[rnd(c, 6).alias(c) for c in ("lo", "hi", "median")], rnd("std", 3).alias("std"))
+
+
+@query("normaliser_apply", f"""WITH {_SQL_NORM}, cells AS (SELECT f.task_key, s.fold, s.feature, f.fold = s.fold AS is_test, x.value, s.kind, s.mode, s.lo, s.hi, s.median, s.mean, s.std
+    FROM folds f JOIN stats s USING (task_key) LEFT JOIN features x ON x.task_key = f.task_key AND x.entity_id = f.entity_id AND x.feature = s.feature WHERE f.seed = 0),
+  kept AS (SELECT task_key, fold, feature FROM cells WHERE NOT is_test GROUP BY ALL HAVING 1 - count(value) / count(*) < 0.9),
+  z AS (SELECT task_key, fold, feature, is_test, CASE WHEN kind <> 'continuous' THEN coalesce(value, mode) WHEN std > 1e-10
+    THEN greatest(-8.0, least(8.0, (CASE WHEN value IS NULL THEN median ELSE greatest(lo, least(hi, value)) END - mean) / std)) ELSE 0.0 END AS x
+    FROM cells JOIN kept USING (task_key, fold, feature))
+SELECT task_key, CAST(fold AS INT) AS fold, is_test, count(DISTINCT feature) AS n_features, count(*) AS n_cells, round(avg(x), 4) + 0.0 AS mean_x, round(stddev_samp(x), 4) AS std_x, round(max(abs(x)), 4) AS max_abs
+FROM z GROUP BY ALL""")
+def normaliser_apply(t: Tables) -> DataFrame:
+    p = Panel(t)
+    first = p.all_folds.where(F.col("seed") == spec.CV_SEEDS[0])
+    stats = norm_stats(t)
+    out = normalise.apply(normalise.fold_cells(p.features, first, stats), stats)
+    return out.groupBy("task_key", "fold", "is_test").agg(
+        F.countDistinct("feature").alias("n_features"), F.count(F.lit(1)).alias("n_cells"), rnd(F.avg("x"), 4).alias("mean_x"),
+        rnd(F.stddev_samp("x"), 4).alias("std_x"), rnd(F.max(F.abs("x")), 4).alias("max_abs"),
+    )
+
+
+# --- reference models and scores --------------------------------------------------
+
+
+@query("model_population_mean", f"WITH {SQL_PRED} SELECT task_key, seed, fold, entity_id, round(yhat, 6) AS yhat FROM pred WHERE model = 'population_mean'")
+def model_population_mean(t: Tables) -> DataFrame:
+    p = Panel(t).naive_predictions.where("model = 'population_mean'")
+    return p.select("task_key", "seed", "fold", "entity_id", rnd("yhat").alias("yhat"))
+
+
+@query("model_locf", f"WITH {SQL_PRED} SELECT task_key, seed, fold, entity_id, round(yhat, 6) AS yhat FROM pred WHERE model = 'locf'")
+def model_locf(t: Tables) -> DataFrame:
+    p = Panel(t).naive_predictions.where("model = 'locf'")
+    return p.select("task_key", "seed", "fold", "entity_id", rnd("yhat").alias("yhat"))
+
+
+@query("locf", f"WITH {SQL_TASKS}, {SQL_HISTORY.split(',' + chr(10) + 'train')[0]} SELECT task_key, entity_id, round(max_by(value, months), 4) AS last_value FROM history GROUP BY ALL")
+def locf(t: Tables) -> DataFrame:
+    return naive.last_values(Panel(t).history).select("task_key", "entity_id", rnd("last_value", 4).alias("last_value"))
+
+
+_SQL_MAJORITY = f"""{SQL_FOLDS}, {SQL_HISTORY}, maj AS (SELECT f.task_key, f.seed, f.fold, f.entity_id, f.y, CASE WHEN t.n_pos * 2 > t.n_train THEN 1.0 ELSE 0.0 END AS yhat,
+  t.n_pos / t.n_train AS prob FROM folds f JOIN train t USING (task_key, seed, fold) WHERE task_type = 'classification')"""
+
+
+@query("model_majority_class", f"WITH {_SQL_MAJORITY} SELECT task_key, seed, fold, entity_id, yhat, round(prob, 6) AS prob FROM maj")
+def model_majority_class(t: Tables) -> DataFrame:
+    p = naive.majority_class(Panel(t).folds("classification"))
+    return p.select("task_key", "seed", "fold", "entity_id", "yhat", rnd("prob").alias("prob"))
+
+
+@query("regression_metrics", f"WITH {SQL_SCORES} SELECT task_key, model, seed, fold, n_test, round(r2, 6) + 0.0 AS r2, round(mae, 3) AS mae, round(rmse, 3) AS rmse, round(pearson, 6) + 0.0 AS pearson, round(spearman, 6) + 0.0 AS spearman FROM scores")
+def regression_metrics(t: Tables) -> DataFrame:
+    return fold_scores(t).select("task_key", "model", "seed", "fold", "n_test", *[rnd(m, DIGITS[m]).alias(m) for m in METRICS])
+
+
+def item_scores(t: Tables) -> DataFrame:
+    """Whole-table probability forecasts: returned or not against ten times the discount."""
+    p = F.col("l_discount") * 10
+    return t.scan("lineitem").select(
+        F.col("l_linenumber").alias("model"), F.concat_ws("|", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity").alias("row_id"),
+        (F.col("l_returnflag") == "R").cast("double").alias("y"), p.alias("prob"), (p >= 0.5).cast("double").alias("yhat"),
+    )
+
+
+SQL_CLS = """cls AS (SELECT l_linenumber AS model, CAST(l_returnflag = 'R' AS INT) AS y, l_discount * 10 AS prob, CAST(l_discount * 10 >= 0.5 AS INT) AS yhat FROM lineitem)"""
+
+
+def sql_ranking(source: str, keys: str, out: str) -> str:
+    """AUROC and average precision of ``source(keys, y, prob)`` as CTE ``out``."""
+    return f"""{out}_v AS (SELECT {keys}, prob, sum(y) AS pos, count(*) AS c FROM {source} GROUP BY ALL),
+{out}_w AS (SELECT *, coalesce(sum(pos) OVER b, 0) AS pb, coalesce(sum(c) OVER b, 0) AS cb, sum(pos) OVER a AS pt, sum(c) OVER a AS ct FROM {out}_v
+  WINDOW a AS (PARTITION BY {keys}), b AS (PARTITION BY {keys} ORDER BY prob ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+{out} AS (SELECT {keys}, sum(pos * ((cb - pb) + (c - pos) / 2)) / nullif(max(pt) * (max(ct) - max(pt)), 0) AS auroc,
+  sum(pos * (pt - pb) / (ct - cb)) / nullif(max(pt), 0) AS auprc FROM {out}_w GROUP BY ALL)"""
+
+
+@query("auroc_rank", f"WITH {SQL_CLS}, {sql_ranking('cls', 'model', 'a')} SELECT model, round(auroc, 6) AS auroc FROM a")
+def auroc_rank(t: Tables) -> DataFrame:
+    return metrics.auroc(item_scores(t), ["model"]).select("model", rnd("auroc").alias("auroc"))
+
+
+@query("auprc_step", f"WITH {SQL_CLS}, {sql_ranking('cls', 'model', 'a')} SELECT model, round(auprc, 6) AS auprc FROM a")
+def auprc_step(t: Tables) -> DataFrame:
+    return metrics.auprc(item_scores(t), ["model"]).select("model", rnd("auprc").alias("auprc"))
+
+
+CLS_METRICS = ["accuracy", "balanced_accuracy", "mcc", "sensitivity", "specificity", "ppv", "npv", "f1", "prevalence", "auroc", "auprc", "brier"]
+
+
+def sql_classification(source: str, keys: str, out: str) -> str:
+    """All classification scores of ``source(keys, y, yhat, prob)`` as CTE ``out``."""
+    on = f"USING ({keys})"
+    return f"""{sql_ranking(source, keys, out + "_k")},
+{out}_c AS (SELECT {keys}, count(*) AS n, CAST(count(*) FILTER (y = 1 AND yhat = 1) AS DOUBLE) AS tp, CAST(count(*) FILTER (y = 0 AND yhat = 1) AS DOUBLE) AS fp,
+  CAST(count(*) FILTER (y = 1 AND yhat = 0) AS DOUBLE) AS fn, CAST(count(*) FILTER (y = 0 AND yhat = 0) AS DOUBLE) AS tn, avg((prob - y) * (prob - y)) AS br FROM {source} GROUP BY ALL),
+{out}_d AS (SELECT *, coalesce(tp / nullif(tp + fn, 0), 0) AS sens, coalesce(tn / nullif(tn + fp, 0), 0) AS spe, n >= 10 AND tp + fn > 0 AND tn + fp > 0 AS ok FROM {out}_c JOIN {out}_k {on}),
+{out} AS (SELECT {keys}, n AS n_test, CASE WHEN ok THEN (tp + tn) / n END AS accuracy, CASE WHEN ok THEN (sens + spe) / 2 END AS balanced_accuracy,
+  CASE WHEN ok THEN coalesce((tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0) END AS mcc,
+  CASE WHEN ok THEN sens END AS sensitivity, CASE WHEN ok THEN spe END AS specificity, CASE WHEN ok THEN coalesce(tp / nullif(tp + fp, 0), 0) END AS ppv,
+  CASE WHEN ok THEN coalesce(tn / nullif(tn + fn, 0), 0) END AS npv, CASE WHEN ok THEN coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) END AS f1,
+  CASE WHEN ok THEN (tp + fn) / n END AS prevalence, CASE WHEN ok THEN auroc END AS auroc, CASE WHEN ok THEN auprc END AS auprc, CASE WHEN ok THEN br END AS brier FROM {out}_d)"""
+
+
+_CLS_COLS = ", ".join(f"round({m}, 6) + 0.0 AS {m}" for m in CLS_METRICS)
+
+
+@query("classification_metrics", f"WITH {SQL_CLS}, {sql_classification('cls', 'model', 'm')} SELECT model, n_test, {_CLS_COLS} FROM m")
+def classification_metrics(t: Tables) -> DataFrame:
+    m = metrics.classification_metrics(item_scores(t), ["model"])
+    return m.select("model", "n_test", *[rnd(c).alias(c) for c in CLS_METRICS])
+
+
+def majority_scores(t: Tables) -> DataFrame:
+    keys = ["task_key", "seed", "fold"]
+    return staged(
+        t.spark, t.folder, "majority_scores",
+        lambda: metrics.classification_metrics(naive.majority_class(Panel(t).folds("classification")), keys),
+    )
+
+
+SQL_MAJ_SCORES = f"{_SQL_MAJORITY}, {sql_classification('maj', 'task_key, seed, fold', 'ms')}"
+
+
+@query("majority_fold_scores", f"WITH {SQL_MAJ_SCORES} SELECT task_key, seed, fold, n_test, {_CLS_COLS} FROM ms")
+def majority_fold_scores(t: Tables) -> DataFrame:
+    return majority_scores(t).select("task_key", "seed", "fold", "n_test", *[rnd(c).alias(c) for c in CLS_METRICS])
+
+
+@query("multiclass_metrics", f"""WITH e AS (SELECT label AS y, embedding[1:4] AS s FROM embeddings), p AS (SELECT y, s, list_position(s, list_max(s)) - 1 AS yhat FROM e),
+  o AS (SELECT c AS model, CAST(y = c AS INT) AS y, CAST(yhat = c AS INT) AS yhat, s[c + 1] AS prob FROM p, (SELECT unnest(range(4)) AS c)),
+  {sql_ranking('o', 'model', 'a')}, f AS (SELECT model, count(*) AS n, 2.0 * count(*) FILTER (y = 1 AND yhat = 1) AS tp2, count(*) FILTER (y <> yhat) AS off FROM o GROUP BY 1)
+SELECT 'all' AS model, max(n) AS n_test, round(avg(coalesce(tp2 / nullif(tp2 + off, 0), 0)), 6) AS macro_f1, round(avg(auroc), 6) AS macro_auroc FROM f JOIN a USING (model)""")
+def multiclass_metrics(t: Tables) -> DataFrame:
+    """Four classes scored by the first four vector components."""
+    scores = F.slice("embedding", 1, 4)
+    rows = t.scan("embeddings").select(F.lit("all").alias("model"), F.col("label").alias("y"), scores.alias("scores"))
+    rows = rows.withColumn("yhat", F.array_position("scores", F.array_max("scores")) - 1)
+    m = metrics.multiclass_metrics(rows, ["model"], [0, 1, 2, 3])
+    return m.select("model", "n_test", rnd("macro_f1").alias("macro_f1"), rnd("macro_auroc").alias("macro_auroc"))
+
+
+@query("ranking_metrics", f"""WITH {SQL_SCORES}, lp AS (SELECT task_key, seed, fold, entity_id, y, yhat FROM pred WHERE model = 'locf'),
+  prs AS (SELECT a.task_key, a.seed, a.fold, sum(sign(a.y - b.y) * sign(a.yhat - b.yhat)) AS net, count(*) AS n0, count(*) FILTER (a.y = b.y) AS n1, count(*) FILTER (a.yhat = b.yhat) AS n2
+    FROM lp a JOIN lp b ON a.task_key = b.task_key AND a.seed = b.seed AND a.fold = b.fold AND a.entity_id < b.entity_id GROUP BY ALL)
+SELECT task_key, seed, fold, round(coalesce(net / nullif(sqrt(CAST(n0 - n1 AS DOUBLE) * (n0 - n2)), 0), 0), 6) + 0.0 AS kendall_tau, round(s.spearman, 6) + 0.0 AS spearman
+FROM prs JOIN scores s USING (task_key, seed, fold) WHERE s.model = 'locf'""")
+def ranking_metrics(t: Tables) -> DataFrame:
+    rows = Panel(t).naive_predictions.where("model = 'locf'")
+    m = metrics.ranking_metrics(rows, ["task_key", "seed", "fold"])
+    return m.select("task_key", "seed", "fold", rnd("kendall_tau").alias("kendall_tau"), rnd("spearman").alias("spearman"))
+
+
+@query("metric_divergence", f"""WITH {SQL_SCORES}, m AS (SELECT task_key, model, avg(r2) AS r2, avg(spearman) AS rho FROM scores GROUP BY ALL)
+SELECT a.task_key, a.model AS model_a, b.model AS model_b, round(abs(a.r2 - b.r2), 6) AS delta_r2, round(abs(a.rho - b.rho), 6) AS delta_spearman,
+  abs(a.r2 - b.r2) < 0.02 AND abs(a.rho - b.rho) > 0.05 AS diverges FROM m a JOIN m b ON a.task_key = b.task_key AND a.model < b.model""")
+def metric_divergence(t: Tables) -> DataFrame:
+    m = fold_scores(t).groupBy("task_key", "model").agg(F.avg("r2").alias("r2"), F.avg("spearman").alias("spearman"))
+    d = metrics.metric_divergence(m)
+    return d.select("task_key", "model_a", "model_b", rnd("delta_r2").alias("delta_r2"), rnd("delta_spearman").alias("delta_spearman"), "diverges")

@@ -298,9 +298,9 @@ history AS (
   SELECT v.task_key, p.entity_id, p.visit, v.months, p.value FROM task_visits v
   JOIN panel p ON p.visit = v.visit AND p.modality = v.target_modality AND p.measure = v.target_measure),
 train AS (
-  SELECT f.task_key, f.seed, f.fold, t.c - f.c AS n_train, (t.s - f.s) / (t.c - f.c) AS train_mean, t.p - f.p AS n_pos
-  FROM (SELECT task_key, seed, fold, sum(y) s, count(y) c, count(*) FILTER (y = 1) p FROM folds GROUP BY ALL) f
-  JOIN (SELECT task_key, seed, sum(y) s, count(y) c, count(*) FILTER (y = 1) p FROM folds GROUP BY ALL) t
+  SELECT f.task_key, f.seed, f.fold, t.c - f.c AS n_train, CAST(t.s - f.s AS DOUBLE) / (t.c - f.c) AS train_mean, t.p - f.p AS n_pos
+  FROM (SELECT task_key, seed, fold, sum(CAST(y AS DECIMAL(28, 8))) s, count(y) c, count(*) FILTER (y = 1) p FROM folds GROUP BY ALL) f
+  JOIN (SELECT task_key, seed, sum(CAST(y AS DECIMAL(28, 8))) s, count(y) c, count(*) FILTER (y = 1) p FROM folds GROUP BY ALL) t
     USING (task_key, seed))"""
 SQL_PRED = f"""{SQL_FOLDS}, {SQL_HISTORY},
 last_value AS (SELECT task_key, entity_id, max_by(value, months) AS last_value FROM history GROUP BY ALL),
