@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from panelcast import spec
 from panelcast.operators.metrics import TINY, ratio
 from panelcast.operators.order_stats import number_in_order
+from panelcast.sources.stage import write_stage
 
 SLACK = 1e-12  # ties between a permuted and the observed mean survive float summation order
 
@@ -142,3 +143,8 @@ def paired_prediction_test(pred: DataFrame, keys: Sequence[str], ident: str, n_p
 
 def stars(p: Column) -> Column:
     return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("")
+
+
+def write_draws(drawn: DataFrame) -> DataFrame:
+    """Store resampled rows once; every score of the resamples scans them several times."""
+    return write_stage(drawn, "draws")
