@@ -79,6 +79,7 @@ def em_fit(patterns, sums: np.ndarray, months, iterations: int = 300, tol: float
         bb = d @ uu.sum(0) @ d
         p_mat = w - w @ c @ w
         new_d = (bb + n_i.sum() * d - d @ np.einsum("i,ijk->jk", n_i, p_mat) @ d) / n_i.sum()
+        new_d = (new_d + new_d.T) / 2
         # residual y - Z(beta + b), b + beta = M q + g inside a pattern
         m_mat, g = d @ a, beta - wb @ d.T
         mq = np.einsum("ijk,ik->ij", m_mat, q)

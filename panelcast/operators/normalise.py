@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast import spec
-from panelcast.operators.folds import train_rows
 from panelcast.operators.order_stats import exact_quantiles
 
 KEYS = ["task_key", "seed", "fold"]
 
 
-def training_values(features: DataFrame, folds: DataFrame) -> DataFrame:
-    """(keys, entity_id, feature, value) once per fold the entity trains for."""
-    rows = folds.select("task_key", "seed", "entity_id", "fold")
-    values = features.select("task_key", "entity_id", "feature", "value")
-    return train_rows(values.join(rows, ["task_key", "entity_id"]))
+def training_counts(features: DataFrame, folds: DataFrame, k: int = spec.N_FOLDS) -> DataFrame:
+    """(keys, feature, value, w): how often a value occurs in the training rows of each held-out fold.
+
+    Rows are counted once per own fold; a training count is the total minus the held-out count.
+    """
+    rows = folds.select("task_key", "seed", "entity_id", F.col("fold").alias("own"))
+    values = features.where("value is not null").select("task_key", "entity_id", "feature", "value")
+    per = [F.count_if(F.col("own") == f).alias(f"c{f}") for f in range(k)]
+    counts = values.join(rows, ["task_key", "entity_id"]).groupBy("task_key", "seed", "feature", "value").agg(*per)
+    total = sum(F.col(f"c{f}") for f in range(k))
+    held = F.array(*[F.struct(F.lit(f).alias("fold"), (total - F.col(f"c{f}")).alias("w")) for f in range(k)])
+    return counts.select("task_key", "seed", "feature", "value", F.inline(held)).where("w > 0")
 
 
 def missing_fractions(features: DataFrame, folds: DataFrame) -> DataFrame:
@@ -34,20 +42,19 @@ def missing_fractions(features: DataFrame, folds: DataFrame) -> DataFrame:
     )
 
 
-def fit(values: DataFrame) -> DataFrame:
-    """norm_stats(keys, feature, kind, mode, lo, hi, median, mean, std) from training values.
+def fit(counts: DataFrame) -> DataFrame:
+    """norm_stats(keys, feature, kind, mode, lo, hi, median, mean, std) from training value counts.
 
     Clipping keeps order, so the median of the clipped values is the median itself
-    and one quantile pass is enough; mean and std need the second pass.
+    and one quantile pass is enough. Moments are taken around the median.
     """
     by = [*KEYS, "feature"]
-    v = F.col("value")
-    counts = values.where(v.isNotNull()).groupBy(*by, "value").agg(F.count(F.lit(1)).alias("c"))
+    v, w = F.col("value"), F.col("w")
     kinds = counts.groupBy(*by).agg(
         F.count(F.lit(1)).alias("levels"),
         F.bool_and(v.isin(0.0, 1.0)).alias("zero_one"),
         F.bool_and(v == F.floor(v)).alias("whole"),
-        F.max(F.struct("c", (-v).alias("neg"))).alias("top"),
+        F.max(F.struct("w", (-v).alias("neg"))).alias("top"),
     )
     kind = (
         F.when(F.col("zero_one"), "binary")
@@ -56,27 +63,58 @@ def fit(values: DataFrame) -> DataFrame:
     )
     kinds = kinds.select(*by, kind.alias("kind"), (-F.col("top.neg")).alias("mode"))
     lo, hi = spec.WINSOR
-    scaled = values.join(kinds.where("kind = 'continuous'").select(*by), by, "left_semi")
-    cuts = exact_quantiles(scaled, by, "value", {"lo": lo, "hi": hi, "median": 0.5})
-    clipped = F.greatest(F.col("lo"), F.least(F.col("hi"), v))
-    moments = scaled.join(cuts, by).groupBy(*by).agg(
-        F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.max("median").alias("median"),
-        F.avg(clipped).alias("mean"), F.stddev_samp(clipped).alias("std"),
+    cuts = exact_quantiles(counts, by, "value", {"lo": lo, "hi": hi, "median": 0.5}, weight="w")
+    # One row per task, seed, fold and feature: the size of the specification.
+    table = kinds.join(cuts, by)
+    d = F.greatest(F.col("lo"), F.least(F.col("hi"), v)) - F.col("median")
+    sums = counts.join(table.where("kind = 'continuous'"), by).groupBy(*by).agg(
+        F.sum(w).alias("n"), F.sum(w * d).alias("s"), F.sum(w * d * d).alias("ss")
+    )
+    out = table.join(sums, by, "left")
+    continuous = F.col("kind") == "continuous"
+    mean = F.col("median") + F.col("s") / F.col("n")
+    var = (F.col("ss") - F.col("s") * F.col("s") / F.col("n")) / F.nullif(F.col("n") - 1, F.lit(0))
+    return out.select(
+        *by, "kind", F.when(~continuous, F.col("mode")).alias("mode"),
+        *[F.when(continuous, F.col(c)).alias(c) for c in ("lo", "hi", "median")],
+        mean.alias("mean"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("std"),
     )
-    out = kinds.join(moments, by, "left")
-    return out.withColumn("mode", F.when(F.col("kind") != "continuous", F.col("mode")))
 
 
-def apply(cells: DataFrame, stats: DataFrame) -> DataFrame:
-    """Impute, winsorise, scale and clip every cell (null value = missing) with its fold's statistics."""
-    v = F.col("value")
-    filled = F.coalesce(F.greatest(F.col("lo"), F.least(F.col("hi"), v)), F.col("median"))
-    filled = F.when(v.isNull(), F.col("median")).otherwise(filled)
-    z = (filled - F.col("mean")) / F.col("std")
+def scaled(v: Column, s: Callable[[str], Column]) -> Column:
+    """One normalised value from a raw value (null = missing) and its statistics ``s(name)``."""
+    clipped = F.greatest(s("lo"), F.least(s("hi"), v))
+    z = (F.when(v.isNull(), s("median")).otherwise(clipped) - s("mean")) / s("std")
     z = F.greatest(F.lit(-spec.Z_CLIP), F.least(F.lit(spec.Z_CLIP), z))
-    scaled = F.when(F.col("std") > 1e-10, z).otherwise(0.0)
-    out = F.when(F.col("kind") == "continuous", scaled).otherwise(F.coalesce(v, F.col("mode")))
-    return cells.join(stats, [*KEYS, "feature"]).withColumn("x", out)
+    return F.when(s("kind") != "continuous", F.coalesce(v, s("mode"))).when(s("std") > 1e-10, z).otherwise(0.0)
+
+
+def apply(cells: DataFrame, stats: DataFrame) -> DataFrame:
+    """Impute, winsorise, scale and clip every cell with its fold's statistics."""
+    return cells.join(stats, [*KEYS, "feature"]).withColumn("x", scaled(F.col("value"), F.col))
+
+
+def kept_stats(features: DataFrame, folds: DataFrame, stats: DataFrame) -> DataFrame:
+    """Statistics of the features present in more than 10 % of the training rows."""
+    kept = missing_fractions(features, folds).where(F.col("missing") < spec.MAX_MISSING)
+    return stats.join(kept.select(*KEYS, "feature"), [*KEYS, "feature"], "left_semi")
+
+
+def fold_vectors(features: DataFrame, folds: DataFrame, kept: DataFrame) -> DataFrame:
+    """(keys, entity_id, y, is_test, features, x): dense normalised rows, features in name order.
+
+    An entity's values are gathered once per task as a map; each fold's statistics are
+    an array broadcast by (task, seed), so no cell is exploded or shuffled per fold.
+    """
+    pairs = F.collect_list(F.struct("feature", "value"))
+    maps = features.where("value is not null").groupBy("task_key", "entity_id").agg(F.map_from_entries(pairs).alias("_m"))
+    names = ["feature", "kind", "mode", "lo", "hi", "median", "mean", "std"]
+    table = kept.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct(*names))).alias("_s"))
+    rows = folds.select("task_key", "seed", "entity_id", "y", F.col("fold").alias("_own")).join(maps, ["task_key", "entity_id"])
+    rows = rows.join(F.broadcast(table), ["task_key", "seed"])
+    x = F.transform("_s", lambda s: scaled(F.element_at("_m", s["feature"]), lambda c: s[c]))
+    listed = F.transform("_s", lambda s: s["feature"])
+    return rows.select(*KEYS, "entity_id", "y", (F.col("_own") == F.col("fold")).alias("is_test"), listed.alias("features"), x.alias("x"))
 
 
 def fold_cells(features: DataFrame, folds: DataFrame, stats: DataFrame, k: int = spec.N_FOLDS) -> DataFrame:
@@ -85,8 +123,7 @@ def fold_cells(features: DataFrame, folds: DataFrame, stats: DataFrame, k: int =
     Features missing in at least 90 % of the training rows are left out.
     """
     rows = folds.select("task_key", "seed", "entity_id", "y", F.col("fold").alias("own"))
-    kept = missing_fractions(features, folds).where(F.col("missing") < spec.MAX_MISSING).select(*KEYS, "feature")
-    wanted = stats.join(kept, [*KEYS, "feature"], "left_semi").select(*KEYS, "feature")
+    wanted = kept_stats(features, folds, stats).select(*KEYS, "feature")
     grid = rows.join(wanted, ["task_key", "seed"]).withColumn("is_test", F.col("own") == F.col("fold")).drop("own")
     values = features.select("task_key", "entity_id", "feature", "value")
     return grid.join(values, ["task_key", "entity_id", "feature"], "left")

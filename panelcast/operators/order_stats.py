@@ -119,20 +119,22 @@ def exact_quantiles(
     value: str,
     probs: Mapping[str, float],
     hot_rows: int = HOT_ROWS,
+    weight: str | None = None,
 ) -> DataFrame:
-    """Linear-interpolation quantiles per key; null values are skipped.
+    """Linear-interpolation quantiles per key; null values are skipped, ``weight`` counts repeats.
 
     Keys up to ``hot_rows`` rows use the built-in exact aggregate; larger keys (at
     most rows / hot_rows of them) go through :func:`running_sums`.
     """
     keys = list(keys)
-    rows = df.where(F.col(value).isNotNull()).select(*keys, value)
-    quantiles = [F.percentile(value, q).alias(name) for name, q in probs.items()]
+    rows = df.where(F.col(value).isNotNull()).select(*keys, value, *([weight] if weight else []))
+    times = F.col(weight) if weight else F.lit(1)
+    quantiles = [F.percentile(value, q, times).alias(name) for name, q in probs.items()]
     hot = rows.groupBy(*keys).count().where(F.col("count") > hot_rows).select(*keys)
     if hot.isEmpty():
         return rows.groupBy(*keys).agg(*quantiles)
     cold = rows.join(hot, keys, "left_anti").groupBy(*keys).agg(*quantiles)
-    runs = running_sums(rows.join(hot, keys, "left_semi"), keys, value, {"cnt": F.lit(1)}, hot=True)
+    runs = running_sums(rows.join(hot, keys, "left_semi"), keys, value, {"cnt": times}, hot=True)
     picks, final = [], []
     for name, q in probs.items():
         pos = (F.col("cnt_total") - 1) * F.lit(float(q))

@@ -187,7 +187,8 @@ def norm_stats(t: Tables) -> DataFrame:
     """Statistics of the first seed's folds, stored as a stage table."""
     p = Panel(t)
     first = p.all_folds.where(F.col("seed") == spec.CV_SEEDS[0])
-    return staged(t.spark, t.folder, "norm_stats", lambda: normalise.fit(normalise.training_values(p.features, first)))
+    counts = staged(t.spark, t.folder, "norm_counts", lambda: normalise.training_counts(p.features, first))
+    return staged(t.spark, t.folder, "norm_stats", lambda: normalise.fit(counts))
 
 
 @query("normaliser_fit", f"""WITH {_SQL_NORM} SELECT task_key, CAST(fold AS INT) AS fold, feature, kind, round(mode, 4) AS mode, round(lo, 6) AS lo, round(hi, 6) AS hi,
