@@ -77,7 +77,7 @@ def fit(counts: DataFrame) -> DataFrame:
     return out.select(
         *by, "kind", F.when(~continuous, F.col("mode")).alias("mode"),
         *[F.when(continuous, F.col(c)).alias(c) for c in ("lo", "hi", "median")],
-        mean.alias("mean"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("std"),
+        mean.alias("mean"), F.when(continuous & F.col("s").isNotNull(), F.sqrt(F.greatest(var, F.lit(0.0)))).alias("std"),
     )
 
 
