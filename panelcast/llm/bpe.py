@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +29,7 @@ from panelcast.llm.registry import query, table
 from panelcast.llm.words import slices, text_buffers
 
 #: Bytes of text in a block.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 #: Bytes of text in a batch that a task hands back.
 BATCH_BYTES = 4 << 20
 NONE = np.int32(2**31 - 1)
@@ -164,9 +165,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             texts = batch.column(1)
             _, offsets = text_buffers(texts)
             for a, b in slices(offsets, BLOCK_BYTES):
-                cut = [find(t or "") for t in texts.slice(a, b - a).to_pylist()]
-                distinct = list({w for words in cut for w in words})
-                ids = dict(zip(distinct, replay([w.encode() for w in distinct], merges), strict=True))
+                number: dict[str, int] = {}
+                cut = [array("i", [number.setdefault(w, len(number)) for w in find(t.as_py() or "")]) for t in texts.slice(a, b - a)]
+                ids = replay([w.encode() for w in number], merges)
                 for c, d in slices(offsets[a : b + 1], BATCH_BYTES):
                     out = [b"".join(map(ids.__getitem__, words)) for words in cut[c:d]]
                     yield pa.record_batch([batch.column(0).slice(a + c, d - c), pa.array(out, pa.binary())], names=[id_col, "ids"])
