@@ -80,23 +80,21 @@ class Ftrl:
 
 
 def train(
-    labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, shards: int = 1, passes: int = 6,
-    settings: dict[str, float] | None = None,
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    max_rows: int = 20_000, shards: int = 1, passes: int = 6, settings: dict[str, float] | None = None,
 ) -> dict[int, float]:
-    """Weights by coordinate.
+    """Weights by coordinate, from the texts of ``docs`` and the labels of ``labels`` with the same id.
 
-    ``max_rows`` is the documented bound on the labelled sample: of more rows, those with the
-    smallest hash of their text are used, about ``max_rows`` of them. Each of the ``shards``
-    tasks keeps the coordinates of its own share.
+    ``max_rows`` is the documented bound on the labelled sample: the label rows with the
+    smallest hashes are used. That bound lets the sample be broadcast, so texts without
+    a sampled label never move. Each of the ``shards`` tasks keeps the coordinates of its share.
     """
-    rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("label"))
-    rows = rows.where(F.col("label").isin(0, 1))
-    n = rows.count()
-    if not n:
-        return {}
-    h = F.xxhash64(F.coalesce("text", F.lit("")), "label")
-    sample = rows.where(F.pmod(h, F.lit(1 << 20)) < max(1, round((1 << 20) * min(1.0, max_rows / n))))
-    sample = sample.withColumn("h", F.xxhash64(h)).repartition(shards, F.pmod("h", F.lit(shards))).sortWithinPartitions("h")
+    rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+    rows = rows.where(F.col("id").isNotNull() & F.col("label").isin(0, 1))
+    chosen = rows.orderBy(F.xxhash64("id"), "id", "label").limit(max_rows)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    sample = texts.join(F.broadcast(chosen), "id").withColumn("h", F.xxhash64(F.xxhash64("id"), "label"))
+    sample = sample.repartition(shards, F.pmod("h", F.lit(shards))).sortWithinPartitions("h")
     settings = settings or {}
 
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,6 +114,8 @@ def train(
 
     got = sample.select("text", "label").mapInArrow(learned, "at bigint, weight double, n bigint")
     got = got.groupBy("at").agg(F.sum("weight").alias("weight"), F.sum("n").alias("n")).toPandas()
+    if got.empty:
+        return {}
     total = got["n"].max()  # every shard returns the intercept
     return dict(zip(got["at"].tolist(), (got["weight"] / total).tolist(), strict=True))
 
@@ -146,6 +146,6 @@ def op10_toxicity(spark, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     labels = table(spark, folder, "labels").select("doc_id", "toxic")
     held_out = is_held_out("doc_id", 5, 0)
-    weights = train(docs.where(~held_out).join(labels.where(~held_out), "doc_id"))
+    weights = train(docs, labels.where(~held_out))
     scores = score(docs, weights)
     return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

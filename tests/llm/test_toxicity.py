@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from panelcast.llm.registry import QUERIES
 from panelcast.llm.toxicity import COORDINATES, Ftrl, features, score, train
@@ -37,10 +38,12 @@ def test_ftrl_matches_plain_formula():
 def test_edge_rows(spark):
     rows = [(i, f"good word {i}", 0) for i in range(60)] + [(100 + i, f"bad word {i}", 1) for i in range(60)] + [(7, None, None), (8, "", 0), (9, "bad " * 40000, 1)]
     df = spark.createDataFrame([(*r, 3.0) for r in rows], "doc_id long, text string, toxic int, score double")
-    weights = train(df)
+    docs, labels = df.select("doc_id", "text", "score"), df.select("doc_id", "toxic", F.lit("x").alias("text"))
+    weights = train(docs, labels)
     got = {r.doc_id: r.score for r in score(df, weights).collect()}
     assert got[103] > 0.5 > got[3] and 0 <= got[7] <= 1 and got[8] <= 0.6
-    assert score(df, train(df.limit(0))).where("score <> 0").count() == 0
+    assert score(df, train(docs.limit(0), labels)).where("score <> 0").count() == 0
+    assert train(docs, labels.limit(0)) == {}
     assert score(df.limit(0), weights).count() == 0
 
 
