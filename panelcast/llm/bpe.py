@@ -29,7 +29,7 @@ from panelcast.llm.registry import query, table
 from panelcast.llm.words import slices, text_buffers
 
 #: Bytes of text in a block.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 #: Bytes of text in a batch that a task hands back.
 BATCH_BYTES = 4 << 20
 NONE = np.int32(2**31 - 1)
@@ -153,9 +153,16 @@ def replay(words: list[bytes], merges: MergeTable) -> list[bytes]:
     return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def decoded(ids: bytes, merges: MergeTable) -> bytes:
+    return b"".join(map(merges.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def encode(
+    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", back: bool = False
+) -> DataFrame:
     """``id_col`` and ``ids``: the ids of the whole text as little-endian unsigned 32-bit integers.
 
+    With ``back`` also ``bytes``, what :func:`decode` makes of the ids, without a second set of Python workers.
     The rank file must be readable on every executor at ``ranks_path``.
     """
 
@@ -168,12 +175,16 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 number: dict[str, int] = {}
                 cut = [array("i", [number.setdefault(w, len(number)) for w in find(t.as_py() or "")]) for t in texts.slice(a, b - a)]
                 ids = replay([w.encode() for w in number], merges)
+                del number
                 for c, d in slices(offsets[a : b + 1], BATCH_BYTES):
                     out = [b"".join(map(ids.__getitem__, words)) for words in cut[c:d]]
-                    yield pa.record_batch([batch.column(0).slice(a + c, d - c), pa.array(out, pa.binary())], names=[id_col, "ids"])
+                    columns = {id_col: batch.column(0).slice(a + c, d - c), "ids": pa.array(out, pa.binary())}
+                    if back:
+                        columns["bytes"] = pa.array([decoded(x, merges) for x in out], pa.binary())
+                    yield pa.RecordBatch.from_pydict(columns)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(encoded, f"`{id_col}` {kind}, ids binary")
+    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(encoded, f"`{id_col}` {kind}, ids binary" + ", bytes binary" * back)
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out: str = "bytes") -> DataFrame:
@@ -181,7 +192,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out: str =
 
     @F.udf("binary", useArrow=True)
     def joined(ids):
-        return None if ids is None else b"".join(map(merge_table(ranks_path).tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return None if ids is None else decoded(ids, merge_table(ranks_path))
 
     return encoded.withColumn(out, joined(ids_col))
 
@@ -192,8 +203,8 @@ def op2_byte_bpe(spark, folder: str) -> DataFrame:
     import public_tokenizers as vocabularies
 
     path = vocabularies.path("byte_bpe_50k.tiktoken")
-    ids = encode(table(spark, folder, "documents"), path, vocabularies.PATTERN)
-    return decode(ids, path).select(
+    ids = encode(table(spark, folder, "documents"), path, vocabularies.PATTERN, back=True)
+    return ids.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
