@@ -10,9 +10,11 @@
    the posterior probability that its similarity reaches the threshold is below
    ``miss``. Survivors are confirmed on their full shingle sets.
 5. Components of the confirmed links are formed. What is left in each bucket is
-   then paired: members outside the bucket's main component with every member
-   of another component. That makes the result exact for all documents that
-   share a band, while pairs inside a component are never written out.
+   then compared: members outside the bucket's main component with every member
+   of another component. Blocks of both meet in tasks as matrices of shingles,
+   each pair in its first shared band only, and only pairs that reach the
+   threshold leave the task. That makes the result exact for all documents that
+   share a band, while no list of pairs of a group is ever written.
 
 A pair at the threshold misses all bands with probability (1 - t^rows)^bands,
 1.3e-7 by default. Null text, and text without words, has an empty set and is
@@ -36,6 +38,10 @@ from panelcast.llm.words import LOWER, mix, shingle_hashes, slices, span_hashes,
 from panelcast.sources.stage import write_stage
 
 BANDS, ROWS, BATCH = 40, 5, 40
+#: Members of a bucket that meet in one task, on either side.
+BLOCK = 256
+#: Distinct shingles in one matrix product.
+COLUMNS = 4096
 #: Shingles whose hash matrix is held at once.
 CHUNK = 2048
 _RNG = np.random.default_rng(20240)
@@ -146,6 +152,108 @@ def verified(pairs: DataFrame, docs: DataFrame, signed: DataFrame, size: int, pe
     return write_stage(both.where(linked("xa", "xb")).select("a", "b"), f"{name}-links")
 
 
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
+
+
+def block_pairs(rest: pa.Table, other: pa.Table, percent: int) -> np.ndarray:
+    """Rows (of rest, of other) of one bucket whose shingles reach the threshold, up to collisions of 32-bit hashes."""
+    cx, cy, nx, ny = (t.column(c).to_numpy() for c in ("c", "n") for t in (rest, other))
+    x, y = rest.column("id").to_numpy(), other.column("id").to_numpy()
+    open_ = cx[:, None] != cy
+    open_ &= (cy == other.column("main").to_numpy()) | (x[:, None] < y)
+    open_ &= 100 * np.minimum(nx[:, None], ny) >= percent * np.maximum(nx[:, None], ny)
+    bx, by = (np.frombuffer(b"".join(t.column("keys").to_pylist()), np.uint32).reshape(-1, BANDS) for t in (rest, other))
+    for band in range(int(rest.column("band")[0].as_py())):  # a pair that shares an earlier band is settled there
+        open_ &= bx[:, band, None] != by[:, band]
+    i, j = np.nonzero(open_)
+    if not len(i):
+        return np.zeros((0, 2), np.int64)
+    sx, sy = ([np.frombuffer(v, np.uint32) for v in t.column("set").to_pylist()] for t in (rest, other))
+    if len(i) <= 16:
+        common = np.array([len(np.intersect1d(sx[a], sy[b])) for a, b in zip(i, j, strict=True)])
+    else:
+        row_x, row_y = (np.repeat(np.arange(len(s)), [len(v) for v in s]) for s in (sx, sy))
+        _, number = np.unique(np.concatenate(sx + sy), return_inverse=True)
+        vx, vy = number[: len(row_x)], number[len(row_x) :]
+        counts = np.zeros((len(sx), len(sy)), np.float32)
+        for low in range(0, int(number.max()) + 1, COLUMNS):
+            a, b = (np.zeros((len(s), COLUMNS), np.float32) for s in (sx, sy))
+            for m, r, v in ((a, row_x, vx), (b, row_y, vy)):
+                own = (v >= low) & (v < low + COLUMNS)
+                m[r[own], v[own] - low] = 1
+            counts += a @ b.T
+        common = counts[i, j].astype(np.int64)
+    common += 2  # two shingles of a text may share their 32 bits; links are confirmed later
+    good = 100 * common >= percent * (nx[i] + ny[j] - common)
+    return np.column_stack([i[good], j[good]])
+
+
+def across_components(now: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (x, y) of one bucket but different components that reach the threshold."""
+    kind = docs.schema["id"].dataType.simpleString()
+    parts = now.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
+    main = parts.groupBy("key").agg(F.max(F.struct("k", "c")).alias("most"), F.sum("k").alias("all"), F.count(F.lit(1)).alias("parts"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    main = main.where("parts > 1").select("key", F.col("most.c").alias("main"), blocks(F.col("all") - F.col("most.k")).alias("nx"), blocks(F.col("all")).alias("ny"))
+    open_ = write_stage(now.join(write_stage(main, "minhash-main"), "key"), "minhash-open")
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in shingle_sets(batch.column(1), size)]
+            keys = np.array(batch.column(2).to_pylist(), np.int64).astype(np.uint32)
+            yield pa.record_batch([batch.column(0), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(sets, pa.binary())], names=["id", "keys", "set"])
+
+    need = open_.select("id").distinct()
+    texts = docs.join(need, "id", "left_semi").join(reps.select("id", "bands"), "id")
+    loads = write_stage(texts.mapInArrow(packed, f"id {kind}, keys binary, set binary"), "minhash-loads")
+    h = F.xxhash64("id")
+    sides = open_.select(
+        "key", "band", "id", "n", "c", "main",
+        F.explode(
+            F.concat(
+                F.when(F.col("c") != F.col("main"), F.transform(F.sequence(F.lit(0), F.col("ny") - 1), lambda j: F.struct(F.pmod(h, "nx").cast("int").alias("i"), j.alias("j"), F.lit(0).alias("side")))).otherwise(
+                    F.array().cast("array<struct<i:int,j:int,side:int>>")
+                ),
+                F.transform(F.sequence(F.lit(0), F.col("nx") - 1), lambda i: F.struct(i.alias("i"), F.pmod(h, "ny").cast("int").alias("j"), F.lit(1).alias("side"))),
+            )
+        ).alias("at"),
+    ).select("key", "band", "id", "n", "c", "main", "at.*")
+    met = sides.join(loads, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def solved(table: pa.Table) -> list[tuple]:
+            place = np.column_stack([table.column(c).to_numpy() for c in ("key", "i", "j")])
+            cuts = np.r_[0, np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1, len(place)]
+            side, ids, out = table.column("side").to_numpy(), table.column("id"), []
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                m = a + int(np.searchsorted(side[a:b], 1))
+                if a < m < b:
+                    for i, j in block_pairs(table.slice(a, m - a), table.slice(m, b - m), percent).tolist():
+                        out.append((ids[a + i].as_py(), ids[m + j].as_py()))
+            return out
+
+        def sent(pairs: list[tuple]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([p[k] for p in pairs], batch_type) for k in (0, 1)], names=["x", "y"])
+
+        batch_type = None
+        for batch in batches:
+            batch_type = batch.schema.field("id").type
+            table = pa.concat_tables([*held, pa.Table.from_batches([batch])]).combine_chunks()
+            place = np.column_stack([table.column(c).to_numpy() for c in ("key", "i", "j")])
+            ends = np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1 if len(place) > 1 else []
+            whole = int(ends[-1]) if len(ends) else 0  # the last group may go on in the next batch
+            if whole:
+                yield sent(solved(table.slice(0, whole)))
+            held = [table.slice(whole)]
+        if held and held[0].num_rows:
+            yield sent(solved(held[0]))
+
+    return met.select("key", "i", "j", "side", "band", "id", "n", "c", "main", "keys", "set").mapInArrow(compared, f"x {kind}, y {kind}")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, miss: float = 1e-7
 ) -> DataFrame:
@@ -158,7 +266,7 @@ def near_duplicates(
     classes = write_stage(signed.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")), "minhash-classes")
     reps = signed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
     each = reps.select("id", "n", F.posexplode("bands").alias("band", "key"), "bands")
-    each = each.select("id", "n", "key", F.element_at("bands", (F.col("band") + 1) % BANDS + 1).alias("next"))
+    each = each.select("id", "n", "band", "key", F.element_at("bands", (F.col("band") + 1) % BANDS + 1).alias("next"))
 
     def pivot():
         return F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id"))["id"].alias("pivot")
@@ -166,28 +274,14 @@ def near_duplicates(
     shared = write_stage(each.groupBy("key").agg(pivot(), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"), "minhash-buckets")
     members = write_stage(each.join(shared, "key"), "minhash-members")
     halves = members.groupBy("key", "next").agg(pivot(), F.count(F.lit(1)).alias("k")).where("k > 1")
-
-    def ordered(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
-
     to_pivot = members.select(F.col("id").alias("x"), F.col("pivot").alias("y"))
     to_half = members.drop("pivot").join(halves, ["key", "next"]).select(F.col("id").alias("x"), F.col("pivot").alias("y"))
     tried = write_stage(ordered(to_pivot.unionByName(to_half)), "minhash-pairs")
     links = verified(tried, docs, reps, size, percent, miss, "minhash-first")
     found = connected_components(links)
-
-    # What the pivots left open: in each bucket, members outside its main component against those of other components.
-    now = members.join(found.withColumnRenamed("node", "id"), "id", "left")
-    now = write_stage(now.select("key", "id", "n", F.coalesce("component", "id").alias("c")), "minhash-now")
-    parts = now.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
-    main = parts.groupBy("key").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    main = write_stage(main.drop("parts"), "minhash-main")
-    open_ = write_stage(now.join(main, "key"), "minhash-open")
-    rest = open_.where("c <> main").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
-    other = open_.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"), "main")
-    likely = (F.col("cx") != F.col("cy")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-    once = (F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))
-    left = ordered(rest.join(other, "key").where(likely & once)).join(tried, ["a", "b"], "left_anti")
+    now = members.select("key", "band", "id", "n").join(found.withColumnRenamed("node", "id"), "id", "left")
+    now = write_stage(now.select("key", "band", "id", "n", F.coalesce("component", "id").alias("c")), "minhash-now")
+    left = write_stage(ordered(across_components(now, docs, reps, size, percent)), "minhash-across")
     more = verified(left, docs, reps, size, percent, miss, "minhash-rest")
     found = connected_components(links.unionByName(more))
 
