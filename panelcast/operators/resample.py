@@ -61,11 +61,10 @@ def paired_tests(
 ) -> DataFrame:
     """Sign-flip test, bootstrap interval and effect size of the mean of ``d`` per key.
 
-    One row per (key, seed, fold) comes in: at most seeds x folds rows per key. The
-    sign table is n_perm x 25 rows by specification, so it may be broadcast.
+    The sign and draw tables have a slot for every position that occurs, so a key may
+    hold any number of rows; their size is repetitions x the largest key.
     """
     keys = list(keys)
-    spark = diffs.sparkSession
     rows = diffs.where(F.col("d").isNotNull())
     w = Window.partitionBy(*keys)
     rows = rows.select(
@@ -74,16 +73,15 @@ def paired_tests(
     obs = rows.groupBy(*keys).agg(
         F.avg("d").alias("observed_diff"), cohens_d_paired(F.col("d")).alias("cohens_d"), F.max("n").alias("n_folds")
     )
-    width = len(spec.CV_SEEDS) * spec.N_FOLDS
-    slots = F.explode(F.sequence(F.lit(1), F.lit(width))).alias("i")
-    signs = spark.range(1, n_perm + 1).select(F.col("id").alias("perm"), slots)
+    slots = rows.select("i").distinct()
+    signs = slots.select("i", F.explode(F.sequence(F.lit(1), F.lit(n_perm)).cast("array<bigint>")).alias("perm"))
     signs = signs.withColumn("s", F.when(coin(F.lit(seed), F.col("perm"), F.col("i")), -1.0).otherwise(1.0))
-    flipped = rows.join(F.broadcast(signs), "i").groupBy(*keys, "perm").agg((F.sum(F.col("d") * F.col("s")) / F.max("n")).alias("m"))
+    flipped = rows.join(signs, "i").groupBy(*keys, "perm").agg((F.sum(F.col("d") * F.col("s")) / F.max("n")).alias("m"))
     extreme = F.count_if(F.abs("m") >= F.abs("observed_diff") - SLACK)
     p = flipped.join(obs.select(*keys, "observed_diff"), keys).groupBy(*keys).agg(((extreme + 1) / (n_perm + 1)).alias("p_value"))
     sizes = rows.select("n").distinct()
-    draws = spark.range(1, n_boot + 1).select(F.col("id").alias("boot"), slots)
-    draws = draws.join(F.broadcast(sizes), F.col("i") <= F.col("n"))
+    draws = sizes.select("n", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i"))
+    draws = draws.select("n", "i", F.explode(F.sequence(F.lit(1), F.lit(n_boot)).cast("array<bigint>")).alias("boot"))
     draws = draws.select("boot", "n", (draw(F.col("n"), F.lit(seed), F.col("boot"), F.col("i")) + 1).cast("int").alias("i"))
     means = rows.join(draws, ["n", "i"]).groupBy(*keys, "boot").agg((F.sum("d") / F.max("n")).alias("m"))
     ci = means.groupBy(*keys).agg(F.percentile("m", F.lit(0.025)).alias("ci_lo"), F.percentile("m", F.lit(0.975)).alias("ci_hi"))

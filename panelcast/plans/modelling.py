@@ -26,7 +26,6 @@ KEYS = ["task_key", "seed", "fold"]
 SEED = spec.CV_SEEDS[0]
 TREE_TASK = "order_total__baseline_multimodal__V08"
 TREE_CLF_TASK = "low_quantity__baseline_multimodal__V08"
-RANK_TASKS = ["total_rank"]
 SHORT_GRIDS = {
     "random_forest": {"n_estimators": [20], "max_depth": [4, 8], "min_samples_leaf": [5]},
     "boosted_trees": {"n_estimators": [10], "max_depth": [3], "learning_rate": [0.05, 0.1]},
@@ -49,11 +48,11 @@ def vectors(t: Tables) -> DataFrame:
         features, folds = Panel(t).features, first_seed(t)
         return normalise.fold_vectors(features, folds, normalise.kept_stats(features, folds, norm_stats(t)))
 
-    return staged(t.spark, t.folder, "vectors", build)
+    return staged(t.spark, t.version, "vectors", build)
 
 
 def inner(t: Tables) -> DataFrame:
-    return staged(t.spark, t.folder, "inner", lambda: fold_ops.inner_folds(first_seed(t).drop("task_type"), Panel(t).grid))
+    return staged(t.spark, t.version, "inner", lambda: fold_ops.inner_folds(first_seed(t).drop("task_type"), Panel(t).grid))
 
 
 def _continuous(t: Tables) -> DataFrame:
@@ -62,11 +61,11 @@ def _continuous(t: Tables) -> DataFrame:
 
 
 def linear_fits(t: Tables) -> DataFrame:
-    return staged(t.spark, t.folder, "linear_fits", lambda: linear.fit_linear(_continuous(t), inner(t)))
+    return staged(t.spark, t.version, "linear_fits", lambda: linear.fit_linear(_continuous(t), inner(t)))
 
 
 def linear_predictions(t: Tables) -> DataFrame:
-    return staged(t.spark, t.folder, "linear_pred", lambda: linear.predict_linear(_continuous(t), linear_fits(t)))
+    return staged(t.spark, t.version, "linear_pred", lambda: linear.predict_linear(_continuous(t), linear_fits(t)))
 
 
 def mixed_predictions(t: Tables) -> DataFrame:
@@ -77,7 +76,7 @@ def mixed_predictions(t: Tables) -> DataFrame:
         back = p.naive_predictions.where((F.col("model") == "locf") & (F.col("seed") == SEED))
         return mixed.predict_mixed(folds, p.history, months, back)
 
-    return staged(t.spark, t.folder, "mixed_pred", build)
+    return staged(t.spark, t.version, "mixed_pred", build)
 
 
 def _scores(pred: DataFrame, t: Tables) -> DataFrame:
@@ -284,7 +283,7 @@ def ablation_rows(t: Tables) -> DataFrame:
         reg = _regression_only(_continuous(t), t)
         return linear.ablate_modalities(reg, inner(t))
 
-    return staged(t.spark, t.folder, "ablation", build)
+    return staged(t.spark, t.version, "ablation", build)
 
 
 @query("ablation_per_fold")
@@ -316,15 +315,15 @@ def sensitivity_with_without_modality(t: Tables) -> DataFrame:
         grid = p.grid.where(F.col("task_key").isin(SENSITIVITY_TASKS))
         names = grid.select("target", "horizon").distinct()
         values = p.target_values.join(F.broadcast(names), ["target", "horizon"], "left_semi")
-        features = staged(t.spark, t.folder, "dose_features", lambda: tasks.task_features(dosed, p.static, grid, values))
+        features = staged(t.spark, t.version, "dose_features", lambda: tasks.task_features(dosed, p.static, grid, values))
         kept = F.broadcast(grid.select("task_key"))
         folds = first_seed(t).join(kept, "task_key", "left_semi").drop("task_type")
-        counts = staged(t.spark, t.folder, "dose_counts", lambda: normalise.training_counts(features, folds))
+        counts = staged(t.spark, t.version, "dose_counts", lambda: normalise.training_counts(features, folds))
         stats = normalise.kept_stats(features, folds, normalise.fit(counts))
-        dosed_rows = staged(t.spark, t.folder, "dose_vectors", lambda: normalise.fold_vectors(features, folds, stats))
+        dosed_rows = staged(t.spark, t.version, "dose_vectors", lambda: normalise.fold_vectors(features, folds, stats))
         return linear.ablate_modalities(dosed_rows, inner(t))
 
-    rows = staged(t.spark, t.folder, "dose_ablation", build).where("dropped_modality = 'dose'")
+    rows = staged(t.spark, t.version, "dose_ablation", build).where("dropped_modality = 'dose'")
     locf = fold_scores(t).where((F.col("model") == "locf") & (F.col("seed") == SEED)).select(*KEYS, F.col("r2").alias("locf_r2"))
     delta = F.avg("full_r2") - F.avg("ablated_r2")
     return rows.join(locf, KEYS).groupBy("task_key").agg(

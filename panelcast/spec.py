@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # --- fixed values: visit calendar -------------------------------------------------
 VISIT_MONTHS = {
@@ -61,13 +62,6 @@ BRADY_ITEMS = [
     "NP3FTAPR", "NP3FTAPL", "NP3HMOVR", "NP3HMOVL", "NP3PRSPR", "NP3PRSPL",
     "NP3TTAPR", "NP3TTAPL", "NP3LGAGR", "NP3LGAGL", "NP3BRADY",
 ]
-PANEL_CODES = [
-    "RCT8", "RCT11", "RCT392", "RCT6", "RCT13", "RCT1", "HMT7", "HMT8", "HMT9",
-    "HMT10", "HMT13", "HMT40", "HMT2", "HMT3", "HMT4", "RCT4", "RCT5", "RCT1407",
-    "RCT12", "RCT15", "RCT16", "RCT18", "RCT17", "RCT183",
-]
-CSF_TESTS = ["ABeta42", "ABeta40", "pTau181", "tTau", "CSF Alpha-synuclein"]
-PLASMA_TESTS = ["NFL", "GFAP", "Ptau217p"]
 ASSAY_BASELINE = "(?i)^BL$|Baseline|Screen"
 
 # --- fixed values: hyper-parameter grids ------------------------------------------
@@ -95,13 +89,6 @@ FIXED_PARAM_KEYS = [
     "scale_pos_weight", "tree_method", "device", "subsample",
     "colsample_bytree", "max_features",
 ]
-MODEL_PAIRS = [
-    ("boosted_trees", "locf"), ("boosted_trees", "elastic_net"), ("boosted_trees", "ridge"),
-    ("boosted_trees", "population_mean"), ("boosted_trees", "random_forest"),
-    ("boosted_trees", "lme"), ("lme", "locf"), ("elastic_net", "locf"),
-    ("random_forest", "locf"), ("elastic_net", "ridge"),
-    ("elastic_net", "boosted_trees"), ("elastic_net", "random_forest"),
-]
 REGIME_PAIRS = [
     ("rolling", "baseline_only"),
     ("baseline_plus_12m", "baseline_only"),
@@ -139,22 +126,6 @@ REGIMES = [
     RegimeSpec("rolling", None),
 ]
 
-# The clinical study the calendar comes from.
-CLINICAL_TARGETS = [
-    TargetSpec("updrs3_total", "motor", "updrs3", "NP3TOT"),
-    TargetSpec("updrs3_tremor", "motor", "updrs3", "TREMOR_SUBSCORE"),
-    TargetSpec("updrs3_brady", "motor", "updrs3", "BRADY_SUBSCORE"),
-    TargetSpec("updrs3_pigd", "motor", "updrs3", "PIGD_SUBSCORE"),
-    TargetSpec("moca_total", "cognitive", "moca", "MCATOT"),
-    TargetSpec("moca_delayed", "cognitive", "moca", "DELAYED_RECALL_SUM"),
-    TargetSpec("updrs1_total", "nonmotor", "updrs1", "NP1RTOT"),
-    TargetSpec("ortho_sys", "autonomic", "vital_signs", "ORTHO_SYS_DROP"),
-    TargetSpec("ortho_dia", "autonomic", "vital_signs", "ORTHO_DIA_DROP"),
-    TargetSpec("motor_worsen", "milestone", "updrs3", "NP3TOT", "classification", "worsen", WORSEN_THRESHOLD),
-    TargetSpec("cognitive_impair", "milestone", "moca", "MCI_FLAG", "classification"),
-    TargetSpec("motor_rank", "motor", "updrs3", "NP3TOT", "ranking", "rank"),
-]
-
 # The star-schema panel: customers followed over order years.
 ORDER_TARGETS = [
     TargetSpec("order_total", "value", "orders", "TOTAL"),
@@ -176,21 +147,14 @@ def calendar(spark: SparkSession) -> DataFrame:
 
 def task_grid(spark: SparkSession, targets=None, regimes=None, horizons=None) -> DataFrame:
     """One row per valid (target, regime, horizon): the horizon lies after the last history visit."""
-    rows = []
-    for t in targets or ORDER_TARGETS:
-        for r in regimes or REGIMES:
-            for h in horizons or HORIZONS:
-                last = max((VISIT_MONTHS[v] for v in r.visits), default=0) if r.visits else 0
-                if VISIT_MONTHS[h] <= last:
-                    continue
-                rows.append((
-                    f"{t.name}__{r.name}__{h}", t.name, t.domain, t.modality, t.measure, t.task_type,
-                    t.rule, float(t.threshold), t.min_patients, t.primary_metric, r.name,
-                    list(r.visits) if r.visits else None, r.multimodal, h, VISIT_MONTHS[h],
-                ))
-    return spark.createDataFrame(
-        rows,
-        "task_key string, target string, domain string, target_modality string, target_measure string, "
-        "task_type string, rule string, threshold double, min_patients int, primary_metric string, "
-        "regime string, regime_visits array<string>, multimodal boolean, horizon string, horizon_months int",
+    target = spark.createDataFrame(
+        [(t.name, t.domain, t.modality, t.measure, t.task_type, t.rule, float(t.threshold), t.min_patients, t.primary_metric) for t in targets or ORDER_TARGETS],
+        "target string, domain string, target_modality string, target_measure string, task_type string, rule string, threshold double, min_patients int, primary_metric string",
+    )
+    regime = spark.createDataFrame(
+        [(r.name, list(r.visits) if r.visits else None, r.multimodal, max([VISIT_MONTHS[v] for v in r.visits or []], default=0)) for r in regimes or REGIMES],
+        "regime string, regime_visits array<string>, multimodal boolean, history_months int",
     )
+    horizon = spark.createDataFrame([(h, VISIT_MONTHS[h]) for h in horizons or HORIZONS], "horizon string, horizon_months int")
+    grid = target.crossJoin(regime).crossJoin(horizon).where("horizon_months > history_months").drop("history_months")
+    return grid.select(F.concat_ws("__", "target", "regime", "horizon").alias("task_key"), *grid.columns)
