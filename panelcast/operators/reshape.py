@@ -27,6 +27,13 @@ def pivot_values(df: DataFrame, keys: Sequence[str], feature: str, names: Sequen
     return df.groupBy(*keys).agg(*[F.max(F.when(F.col(feature) == n, F.col(value))).alias(n) for n in names])
 
 
+def calendar_rows(raw: DataFrame, ident: str, event: str) -> DataFrame:
+    """Raw rows with their calendar ``visit``; screening stands for a missing baseline."""
+    df = raw.withColumn("visit", simple_visit(F.col(event)))
+    df = df.where(F.col("visit").isin([*spec.VISIT_ORDER, "SC"]))
+    return cleaning.sc_to_bl(df, ident, "visit").where(F.col("visit").isin(spec.VISIT_ORDER))
+
+
 def load_longitudinal(
     raw: DataFrame, ident: str, event: str, measures: Sequence[str], state: str | None = None
 ) -> DataFrame:
@@ -34,9 +41,7 @@ def load_longitudinal(
 
     Visit mapping, calendar filter, screening-to-baseline, state policy, then the exact median.
     """
-    df = raw.withColumn("visit", simple_visit(F.col(event)))
-    df = df.where(F.col("visit").isin([*spec.VISIT_ORDER, "SC"]))
-    df = cleaning.sc_to_bl(df, ident, "visit").where(F.col("visit").isin(spec.VISIT_ORDER))
+    df = calendar_rows(raw, ident, event)
     if state:
         df = cleaning.keep_off_state(df, state)
     return median_per(to_long(df, [ident, "visit"], measures), [ident, "visit", "measure"])

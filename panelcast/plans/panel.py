@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast import spec
+from panelcast.functions.text import simple_visit
 from panelcast.models import naive
 from panelcast.operators import folds as fold_ops
-from panelcast.operators import metrics, reshape, tasks
+from panelcast.operators import cleaning, metrics, reshape, tasks
 from panelcast.sources.stage import staged
 from panelcast.sources.tables import Tables
 
@@ -32,7 +33,7 @@ class Panel:
 
     def _staged(self, name: str, build) -> DataFrame:
         gate = "" if self.min_total is None else f"-{self.min_total}"
-        return staged(self.spark, self.t.folder + gate, name, build)
+        return staged(self.spark, self.t.version + gate, name, build)
 
     @cached_property
     def raw_orders(self) -> DataFrame:
@@ -66,9 +67,34 @@ class Panel:
         """Cohort rows (entity_id, modality, visit, measure, value), one median each."""
         return self._staged("panel", self.build_panel)
 
+    @cached_property
+    def visit_orders(self) -> DataFrame:
+        """Cohort orders on the calendar, screening included."""
+        rows = self.raw_orders.join(self.cohort, "entity_id", "left_semi").withColumn("visit", simple_visit(F.col("event_id")))
+        return rows.where(F.col("visit").isin([*spec.VISIT_ORDER, "SC"])).drop("event_id", "o_orderdate")
+
+    @cached_property
+    def visit_items(self) -> DataFrame:
+        """Line items of the calendar's orders: scanned and joined once, and stored for the rules and medians."""
+
+        def build() -> DataFrame:
+            li = self.t.scan("lineitem").select(
+                F.col("l_orderkey").alias("order_id"), F.col("l_quantity").alias("QUANTITY"),
+                F.col("l_discount").alias("DISCOUNT"), F.col("l_tax").alias("TAX"), F.col("l_extendedprice").alias("PRICE"),
+            )
+            return li.join(self.visit_orders.select("order_id", "entity_id", "visit"), "order_id").drop("order_id")
+
+        return self._staged("visit_items", build)
+
     def build_panel(self) -> DataFrame:
-        orders = reshape.load_longitudinal(self.raw_orders, "entity_id", "event_id", ORDER_MEASURES, "state")
-        items = reshape.load_longitudinal(self.raw_items, "entity_id", "event_id", ITEM_MEASURES)
+        keys = ["entity_id", "visit"]
+
+        def medians(rows: DataFrame, measures: list[str], state: str | None = None) -> DataFrame:
+            rows = cleaning.sc_to_bl(rows, "entity_id", "visit").where(F.col("visit").isin(spec.VISIT_ORDER))
+            rows = cleaning.keep_off_state(rows, state) if state else rows
+            return reshape.median_per(reshape.to_long(rows, keys, measures), [*keys, "measure"])
+
+        orders, items = medians(self.visit_orders, ORDER_MEASURES, "state"), medians(self.visit_items, ITEM_MEASURES)
         cell = F.struct("measure", "value")
         flag = F.struct(
             F.lit("LOW_QUANTITY").alias("measure"),
@@ -77,7 +103,7 @@ class Panel:
         cells = F.when(F.col("measure") == "QUANTITY", F.array(cell, flag)).otherwise(F.array(cell))
         items = items.select("entity_id", "visit", F.inline(cells))
         both = orders.withColumn("modality", F.lit("orders")).unionByName(items.withColumn("modality", F.lit("lineitem")))
-        return both.join(self.cohort, "entity_id", "left_semi").select("entity_id", "modality", "visit", "measure", "value")
+        return both.select("entity_id", "modality", "visit", "measure", "value")
 
     @cached_property
     def static(self) -> DataFrame:

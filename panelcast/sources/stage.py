@@ -8,6 +8,7 @@ gives later scans column pruning and file statistics.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -18,9 +19,11 @@ _BUILT: dict[tuple, str] = {}
 
 
 def stage_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is configured."""
+    """The cluster's shared checkpoint folder; in local mode a temporary one where none is configured."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not folder:
         key = (sc.applicationId, "", "folder")
         if key not in _BUILT:
@@ -29,6 +32,13 @@ def stage_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def input_version(spark: SparkSession, folder: str) -> str:
+    """Digest of names, sizes and times of the Parquet files below a folder; no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder)
+    rows = files.select("path", "modificationTime", "length").collect()  # one row per input file
+    return hashlib.md5(repr(sorted(map(tuple, rows))).encode()).hexdigest()
+
+
 def write_stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{stage_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
@@ -37,7 +47,10 @@ def write_stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def staged(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The stage table of ``source``, built on first use in this application."""
+    """The stage table of ``source``, built on first use in this application.
+
+    ``source`` names the input and its version, ``name`` the table with its arguments.
+    """
     key = (spark.sparkContext.applicationId, source, name)
     if key not in _BUILT:
         df = build()

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import os
 from collections.abc import Sequence
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.functions.text import null_tokens
+from panelcast.sources.stage import input_version
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -22,6 +24,11 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
+    @cached_property
+    def version(self) -> str:
+        """The folder with a digest of its files, so that stage tables of changed input are built anew."""
+        return f"{self.folder}@{input_version(self.spark, self.folder)}"
+
     def __getattr__(self, name: str) -> DataFrame:
         return self.scan(name)
 
