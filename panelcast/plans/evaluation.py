@@ -187,8 +187,8 @@ def norm_stats(t: Tables) -> DataFrame:
     """Statistics of the first seed's folds, stored as a stage table."""
     p = Panel(t)
     first = p.all_folds.where(F.col("seed") == spec.CV_SEEDS[0])
-    counts = staged(t.spark, t.folder, "norm_counts", lambda: normalise.training_counts(p.features, first))
-    return staged(t.spark, t.folder, "norm_stats", lambda: normalise.fit(counts))
+    counts = staged(t.spark, t.version, "norm_counts", lambda: normalise.training_counts(p.features, first))
+    return staged(t.spark, t.version, "norm_stats", lambda: normalise.fit(counts))
 
 
 @query("normaliser_fit", f"""WITH {_SQL_NORM} SELECT task_key, CAST(fold AS INT) AS fold, feature, kind, round(mode, 4) AS mode, round(lo, 6) AS lo, round(hi, 6) AS hi,
@@ -312,7 +312,7 @@ def classification_metrics(t: Tables) -> DataFrame:
 def majority_scores(t: Tables) -> DataFrame:
     keys = ["task_key", "seed", "fold"]
     return staged(
-        t.spark, t.folder, "majority_scores",
+        t.spark, t.version, "majority_scores",
         lambda: metrics.classification_metrics(naive.majority_class(Panel(t).folds("classification")), keys),
     )
 
@@ -325,16 +325,17 @@ def majority_fold_scores(t: Tables) -> DataFrame:
     return majority_scores(t).select("task_key", "seed", "fold", "n_test", *[rnd(c).alias(c) for c in CLS_METRICS])
 
 
-@query("multiclass_metrics", f"""WITH e AS (SELECT label AS y, embedding[1:4] AS s FROM embeddings), p AS (SELECT y, s, list_position(s, list_max(s)) - 1 AS yhat FROM e),
-  o AS (SELECT c AS model, CAST(y = c AS INT) AS y, CAST(yhat = c AS INT) AS yhat, s[c + 1] AS prob FROM p, (SELECT unnest(range(4)) AS c)),
+@query("multiclass_metrics", f"""WITH k AS (SELECT DISTINCT label AS c FROM embeddings), e AS (SELECT label AS y, embedding[1:(SELECT max(c) + 1 FROM k)] AS s FROM embeddings), p AS (SELECT y, s, list_position(s, list_max(s)) - 1 AS yhat FROM e),
+  o AS (SELECT c AS model, CAST(y = c AS INT) AS y, CAST(yhat = c AS INT) AS yhat, s[c + 1] AS prob FROM p, k),
   {sql_ranking('o', 'model', 'a')}, f AS (SELECT model, count(*) AS n, 2.0 * count(*) FILTER (y = 1 AND yhat = 1) AS tp2, count(*) FILTER (y <> yhat) AS off FROM o GROUP BY 1)
 SELECT 'all' AS model, max(n) AS n_test, round(avg(coalesce(tp2 / nullif(tp2 + off, 0), 0)), 6) AS macro_f1, round(avg(auroc), 6) AS macro_auroc FROM f JOIN a USING (model)""")
 def multiclass_metrics(t: Tables) -> DataFrame:
-    """Four classes scored by the first four vector components."""
-    scores = F.slice("embedding", 1, 4)
+    """Every class that occurs, scored by the vector component of its number."""
+    classes = sorted(r["label"] for r in t.scan("embeddings").select("label").distinct().collect())  # one row per class
+    scores = F.slice("embedding", 1, max(classes) + 1)
     rows = t.scan("embeddings").select(F.lit("all").alias("model"), F.col("label").alias("y"), scores.alias("scores"))
     rows = rows.withColumn("yhat", F.array_position("scores", F.array_max("scores")) - 1)
-    m = metrics.multiclass_metrics(rows, ["model"], [0, 1, 2, 3])
+    m = metrics.multiclass_metrics(rows, ["model"], classes)
     return m.select("model", "n_test", rnd("macro_f1").alias("macro_f1"), rnd("macro_auroc").alias("macro_auroc"))
 
 

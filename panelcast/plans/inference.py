@@ -72,7 +72,7 @@ def model_tests(t: Tables) -> DataFrame:
         tests = resample.paired_tests(long_pairs(t), keys, ["seed", "fold"])
         return resample.benjamini_hochberg(tests, "p_value", "p_adjusted", ["metric"])
 
-    return staged(t.spark, t.folder, "model_tests", build)
+    return staged(t.spark, t.version, "model_tests", build)
 
 
 _SQL_MODEL = f"""{SQL_SCORES}, mp AS (SELECT a.task_key, 'locf' AS model_a, 'population_mean' AS model_b, m.metric, a.seed, a.fold,
@@ -111,14 +111,18 @@ def bh_fdr(t: Tables) -> DataFrame:
     return model_tests(t).select("task_key", "metric", *_rounded(["p_value", "p_adjusted"]))
 
 
-@query("reverse_cummin", f"""WITH {SQL_SCORES}, m AS (SELECT task_key, model, avg(r2) AS r2 FROM scores GROUP BY ALL)
-SELECT task_key, model, round(min(r2) OVER (PARTITION BY model ORDER BY task_key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) + 0.0 AS tail_min FROM m""")
+@query("reverse_cummin", f"""WITH {_SQL_MODEL}, r AS (SELECT task_key, metric, p_value, p_value * count(*) OVER (PARTITION BY metric) / row_number() OVER (PARTITION BY metric ORDER BY p_value, task_key) AS raw FROM mt WHERE p_value IS NOT NULL)
+SELECT task_key, metric, round(min(raw) OVER (PARTITION BY metric ORDER BY p_value, task_key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) + 0.0 AS tail_min FROM r""")
 def reverse_cummin(t: Tables) -> DataFrame:
+    """Step-up of p * m / rank: the smallest value from each rank on."""
     from pyspark.sql import Window
 
-    m = fold_scores(t).groupBy("task_key", "model").agg(F.avg("r2").alias("r2"))
-    w = Window.partitionBy("model").orderBy("task_key").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return m.select("task_key", "model", rnd(F.min("r2").over(w)).alias("tail_min"))
+    m = model_tests(t).where("p_value is not null")
+    family = Window.partitionBy("metric")
+    up = family.orderBy("p_value", "task_key")
+    raw = m.withColumn("raw", F.col("p_value") * F.count(F.lit(1)).over(family) / F.row_number().over(up))
+    tail = up.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    return raw.select("task_key", "metric", rnd(F.min("raw").over(tail)).alias("tail_min"))
 
 
 @query("significance_stars", f"WITH {_SQL_MODEL} SELECT task_key, metric, CASE WHEN p_adjusted < 0.001 THEN '***' WHEN p_adjusted < 0.01 THEN '**' WHEN p_adjusted < 0.05 THEN '*' ELSE '' END AS stars FROM mtb")
@@ -138,7 +142,7 @@ def regime_tests(t: Tables, model: str = "locf") -> DataFrame:
         tests = resample.paired_tests(both.withColumn("d", F.col("r2_a") - F.col("r2_b")), keys, ["seed", "fold"])
         return resample.benjamini_hochberg(tests, "p_value", "p_adjusted")
 
-    return staged(t.spark, t.folder, f"regime_tests_{model}", build)
+    return staged(t.spark, t.version, f"regime_tests_{model}", build)
 
 
 _RP = ", ".join(f"('{a}', '{b}')" for a, b in spec.REGIME_PAIRS)

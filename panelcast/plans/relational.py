@@ -210,11 +210,12 @@ def mixed_dedup(t: Tables) -> DataFrame:
     return first.join(med, keys, "left")
 
 
-@query("age_dedup", f"WITH {SQL_RAW} SELECT entity_id, event_id, round(avg(PRIORITY * 1.37), 6) AS mean_age, min_by(state, order_id) FILTER (state IS NOT NULL) AS state, count(*) > 1 AS is_dup FROM raw_orders GROUP BY entity_id, event_id")
+@query("age_dedup", f"WITH {SQL_RAW} SELECT entity_id, event_id, round(avg(PRIORITY + 0.5), 1) AS mean_age, min_by(state, order_id) FILTER (state IS NOT NULL) AS state, count(*) > 1 AS is_dup FROM raw_orders GROUP BY entity_id, event_id")
 def age_dedup(t: Tables) -> DataFrame:
-    age = F.col("PRIORITY") * 1.37
+    """Mean of parsed age text with one digit; the text is the priority number with a decimal comma."""
+    age = text.loose_number(F.concat(F.col("PRIORITY").cast("int").cast("string"), F.lit(",5 y")))
     return Panel(t).raw_orders.groupBy("entity_id", "event_id").agg(
-        rnd(F.avg(age)).alias("mean_age"),
+        rnd(F.avg(age), 1).alias("mean_age"),
         F.min_by("state", F.when(F.col("state").isNotNull(), F.col("order_id"))).alias("state"),
         (F.count(F.lit(1)) > 1).alias("is_dup"),
     )
@@ -344,13 +345,13 @@ def univariate_distribution(t: Tables) -> DataFrame:
     )
 
 
-_TRAJ = [(x, v) for x in _REG[:2] for v in spec.VISIT_ORDER]
+_TRAJ = [(x, v) for x in _REG for v in spec.VISIT_ORDER]
 
 
 @query("horizon_trajectories", f"WITH {SQL_PANEL} SELECT entity_id, " + ", ".join(
-    f"round(avg(value) FILTER (modality = '{x.modality}' AND measure = '{x.measure}' AND visit = '{v}'), 4) AS {x.name}__{v}" for x, v in _TRAJ) + " FROM panel WHERE measure IN ('TOTAL', 'PRICE') GROUP BY entity_id")
+    f"round(avg(value) FILTER (modality = '{x.modality}' AND measure = '{x.measure}' AND visit = '{v}'), 4) AS {x.name}__{v}" for x, v in _TRAJ) + " FROM panel GROUP BY entity_id")
 def horizon_trajectories(t: Tables) -> DataFrame:
-    rows = Panel(t).panel.where(F.col("measure").isin([x.measure for x in _REG[:2]]))
+    rows = Panel(t).panel
     hit = lambda x, v: (F.col("modality") == x.modality) & (F.col("measure") == x.measure) & (F.col("visit") == v)
     return rows.groupBy("entity_id").agg(*[rnd(F.avg(F.when(hit(x, v), F.col("value"))), 4).alias(f"{x.name}__{v}") for x, v in _TRAJ])
 

@@ -29,7 +29,7 @@ def survivorship_table(t: Tables) -> DataFrame:
         seen = p.where("modality = 'orders'").select("entity_id", "visit").distinct()
         return analyses.survivorship(bl, seen, LATE)
 
-    return staged(t.spark, t.folder, "survivorship", build)
+    return staged(t.spark, t.version, "survivorship", build)
 
 
 _SQL_SURV = f"""{SQL_PANEL}, {_SQL_REG}, sb AS (SELECT entity_id, target AS feature, value FROM reg JOIN panel USING (modality, measure) WHERE visit = 'BL'),
@@ -191,7 +191,7 @@ def qc_primary_metric(t: Tables) -> DataFrame:
 
 def manifest_table(t: Tables) -> DataFrame:
     p = Panel(t)
-    return staged(t.spark, t.folder, "manifest", lambda: tasks.manifest(p.features, p.targets, p.grid, p.panel, p.static))
+    return staged(t.spark, t.version, "manifest", lambda: tasks.manifest(p.features, p.targets, p.grid, p.panel, p.static))
 
 
 _SQL_MANIFEST = f"""{SQL_TASKS}, sz AS (SELECT task_key, count(*) AS n_total, avg(y) AS my FROM tt GROUP BY 1),
@@ -223,7 +223,7 @@ def qc_dimensionality(t: Tables) -> DataFrame:
 
 
 @query("qc_overall", f"""WITH {_SQL_STEPS}, st AS (SELECT status FROM ({_Q_LOCF}) UNION ALL SELECT status FROM ({_Q_SIZES}) UNION ALL SELECT CASE WHEN count(*) > 0 THEN 'WARN' ELSE 'PASS' END FROM rising
-  UNION ALL SELECT CASE WHEN count(*) FILTER (r2 IS NULL) > 0 THEN 'WARN' ELSE 'PASS' END FROM frontier UNION ALL SELECT CASE WHEN count(DISTINCT task_key) < 60 THEN 'FAIL' ELSE 'PASS' END FROM frontier)
+  UNION ALL SELECT CASE WHEN count(*) FILTER (r2 IS NULL) > 0 THEN 'WARN' ELSE 'PASS' END FROM frontier UNION ALL SELECT CASE WHEN count(DISTINCT task_key) < (SELECT count(*) FROM grid WHERE task_type = 'regression') THEN 'FAIL' ELSE 'PASS' END FROM frontier)
 SELECT CASE WHEN bool_or(status = 'FAIL') THEN 'FAIL' WHEN bool_or(status = 'WARN') THEN 'WARN' ELSE 'PASS' END AS status FROM st""")
 def qc_overall(t: Tables) -> DataFrame:
     checks = [qc_locf_scale, qc_sample_sizes, qc_nonmonotonic, qc_output_completeness, qc_primary_metric]
@@ -297,20 +297,20 @@ def hp_frequency(t: Tables) -> DataFrame:
     )
 
 
-@query("hp_grid_edge", f"""WITH {_SQL_HP}, b AS (SELECT min(lr) AS lo_lr, max(lr) AS hi_lr, min(depth) AS lo_d, max(depth) AS hi_d FROM hp)
-SELECT model, 'learning_rate' AS param, lr AS value, CASE WHEN lr = lo_lr THEN 'LOW' WHEN lr = hi_lr THEN 'HIGH' ELSE 'INTERIOR' END AS edge FROM rk, b WHERE rnk = 1
-UNION ALL SELECT model, 'max_depth', depth, CASE WHEN depth = lo_d THEN 'LOW' WHEN depth = hi_d THEN 'HIGH' ELSE 'INTERIOR' END FROM rk, b WHERE rnk = 1""")
-def hp_grid_edge(t: Tables) -> DataFrame:
-    rows = clean_params(tuned_rows(t))
+_EDGES = {k: (min(v), max(v)) for k, v in spec.GRIDS["boosted_trees"].items() if k in ("learning_rate", "max_depth")}
 
-    def exploded(df: DataFrame) -> DataFrame:
-        parts = df.withColumn("part", F.explode(F.split("config", ", ")))
-        return parts.withColumn("param", F.split("part", "=")[0]).withColumn("value", F.split("part", "=")[1].cast("double"))
 
-    grid = exploded(rows).groupBy("param").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    best = exploded(config_ranks(rows).where("rnk = 1"))
-    edge = F.when(F.col("value") == F.col("lo"), "LOW").when(F.col("value") == F.col("hi"), "HIGH").otherwise("INTERIOR")
-    return best.join(grid, "param").select("model", "param", "value", edge.alias("edge"))
+@query("hp_grid_edge", f"""WITH {_SQL_HP}, b(param, lo, hi) AS (VALUES {", ".join(f"('{k}', CAST({lo} AS DOUBLE), CAST({hi} AS DOUBLE))" for k, (lo, hi) in _EDGES.items())}),
+  v AS (SELECT model, 'learning_rate' AS param, CAST(lr AS DOUBLE) AS value FROM rk WHERE rnk = 1 UNION ALL SELECT model, 'max_depth', depth FROM rk WHERE rnk = 1)
+SELECT model, param, value, CASE WHEN value <= lo THEN 'LOW' WHEN value >= hi THEN 'HIGH' ELSE 'INTERIOR' END AS edge FROM v JOIN b USING (param)""")
+def hp_grid_edge(t: Tables) -> DataFrame:
+    """Whether the modal values lie at or beyond an edge of the searched grid."""
+    best = config_ranks(clean_params(tuned_rows(t))).where("rnk = 1")
+    parts = best.withColumn("part", F.explode(F.split("config", ", ")))
+    parts = parts.select("model", F.split("part", "=")[0].alias("param"), F.split("part", "=")[1].cast("double").alias("value"))
+    grid = t.spark.createDataFrame([(k, float(lo), float(hi)) for k, (lo, hi) in _EDGES.items()], "param string, lo double, hi double")
+    edge = F.when(F.col("value") <= F.col("lo"), "LOW").when(F.col("value") >= F.col("hi"), "HIGH").otherwise("INTERIOR")
+    return parts.join(F.broadcast(grid), "param").select("model", "param", "value", edge.alias("edge"))  # one row per parameter
 
 
 @query("hp_by_regime", f"WITH {_SQL_HP} SELECT hp.model, regime, count(*) FILTER (hp.config = rk.config) AS n_top, count(*) AS n, round(100.0 * count(*) FILTER (hp.config = rk.config) / count(*), 4) AS pct FROM hp JOIN rk ON rk.model = hp.model AND rk.rnk = 1 GROUP BY ALL")
