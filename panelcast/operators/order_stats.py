@@ -11,11 +11,15 @@ time, and bucket offsets are added afterwards. Both ways give the same result.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 2_000_000
+#: Rows that one task should sort; larger keys are cut into enough buckets of this size.
+BUCKET_ROWS = 500_000
 
 
 def has_hot_key(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> bool:
@@ -24,12 +28,19 @@ def has_hot_key(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) ->
 
 
 def bucket_count(df: DataFrame) -> int:
-    """Power of two, about twice the shuffle width, so each bucket is a fraction of a task."""
-    wanted = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = 16
-    while n < min(wanted, 4096):
-        n *= 2
-    return n
+    """Power of two: at least twice the shuffle width, and enough for buckets of about BUCKET_ROWS.
+
+    Edges of 2**20 buckets (8 MB) still fit in a row; beyond 5e11 rows the buckets grow instead, and their sort spills.
+    """
+    wanted = max(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // BUCKET_ROWS)
+    return 1 << min(20, max(4, (wanted - 1).bit_length()))
+
+
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null, as in grouping; the left keys stay."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys], F.lit(True))
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
 def split_points(counts: DataFrame, keys: Sequence[str], value: str, n: int) -> DataFrame:
@@ -94,7 +105,7 @@ def running_sums(
         *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"_{s}_off") for s in names],
         *[F.sum(s).over(whole).alias(f"{s}_total") for s in names],
     )
-    joined = rows.join(offsets, [*keys, "_bucket"])
+    joined = join_same(rows, offsets, [*keys, "_bucket"])
     return joined.select(
         *keys,
         value,
@@ -133,8 +144,8 @@ def exact_quantiles(
     hot = rows.groupBy(*keys).count().where(F.col("count") > hot_rows).select(*keys)
     if hot.isEmpty():
         return rows.groupBy(*keys).agg(*quantiles)
-    cold = rows.join(hot, keys, "left_anti").groupBy(*keys).agg(*quantiles)
-    runs = running_sums(rows.join(hot, keys, "left_semi"), keys, value, {"cnt": times}, hot=True)
+    cold = join_same(rows, hot, keys, "left_anti").groupBy(*keys).agg(*quantiles)
+    runs = running_sums(join_same(rows, hot, keys, "left_semi"), keys, value, {"cnt": times}, hot=True)
     picks, final = [], []
     for name, q in probs.items():
         pos = (F.col("cnt_total") - 1) * F.lit(float(q))
@@ -161,7 +172,7 @@ def number_in_order(
         hot = has_hot_key(df, keys)
     if not hot:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(order, tie)) - 1)
-    chars = {16: 1, 32: 2, 64: 2, 128: 2, 256: 2}.get(bucket_count(df), 3)
+    chars = -(-(bucket_count(df).bit_length() - 1) // 4)
     cut = df.withColumn("_bucket", F.substring(order, 1, chars))
     rn = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(order, tie))
     per_bucket = cut.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
@@ -169,5 +180,5 @@ def number_in_order(
     offsets = per_bucket.select(
         *keys, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off")
     )
-    numbered = cut.withColumn("_rn", rn).join(offsets, [*keys, "_bucket"])
+    numbered = join_same(cut.withColumn("_rn", rn), offsets, [*keys, "_bucket"])
     return numbered.withColumn(out, F.col("_off") + F.col("_rn") - 1).drop("_bucket", "_rn", "_off")
