@@ -172,9 +172,9 @@ class Plan:
             self._free(room, first + full, n - full)
 
 
-def plan(histogram: dict[int, int], capacity: int, groups: int = 48, small: int | None = None) -> Plan:
-    """``small`` is the largest length that is put best-fit only; an eighth of the capacity by default."""
-    small = capacity // 8 if small is None else small
+def plan(histogram: dict[int, int], capacity: int, groups: int = 96, small: int | None = None) -> Plan:
+    """``small`` is the largest length that is put best-fit only; a third of the capacity by default."""
+    small = capacity // 3 if small is None else small
     out = Plan(capacity)
     if histogram.get(capacity):
         out.bins([(capacity, 1)], histogram[capacity])
