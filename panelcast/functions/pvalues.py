@@ -44,6 +44,28 @@ def student_t_two_sided(t: Column, df: Column) -> Column:
     return tail(t.cast("double"), df.cast("double"))
 
 
+def signed_rank_upper(n: Column, w: Column) -> Column:
+    """P(W >= w) of the signed-rank statistic of n untied differences, from the number of rank subsets by their sum."""
+
+    @F.pandas_udf("double")
+    def tail(ns: pd.Series, ws: pd.Series) -> pd.Series:
+        out = []
+        for size, value in zip(ns, ws):
+            if pd.isna(size) or pd.isna(value):
+                out.append(None)
+                continue
+            ways = np.ones(1)
+            for rank in range(1, int(size) + 1):
+                grown = np.zeros(len(ways) + rank)
+                grown[: len(ways)] += ways
+                grown[rank:] += ways
+                ways = grown / 2
+            out.append(float(ways[max(0, math.ceil(value)) :].sum()))
+        return pd.Series(out, dtype="float64")
+
+    return tail(n.cast("double"), w.cast("double"))
+
+
 def normal_upper(z: Column) -> Column:
     @F.pandas_udf("double")
     def tail(zs: pd.Series) -> pd.Series:

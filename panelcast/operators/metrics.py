@@ -77,9 +77,9 @@ def confusion(pred: DataFrame, keys: Sequence[str], y: str = "y", yhat: str = "y
     )
 
 
-def auroc(pred: DataFrame, keys: Sequence[str], y: str = "y", score: str = "prob") -> DataFrame:
+def auroc(pred: DataFrame, keys: Sequence[str], y: str = "y", score: str = "prob", hot: bool | None = None) -> DataFrame:
     """Tie-aware area under the ROC curve from running class counts."""
-    runs = running_sums(pred, keys, score, {"pos": F.col(y).cast("double"), "neg": 1.0 - F.col(y)})
+    runs = running_sums(pred, keys, score, {"pos": F.col(y).cast("double"), "neg": 1.0 - F.col(y)}, hot)
     wins = F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)
     area = runs.groupBy(*keys).agg(
         F.sum(wins).alias("_u"), F.max("pos_total").alias("_p"), F.max("neg_total").alias("_m")
@@ -87,9 +87,9 @@ def auroc(pred: DataFrame, keys: Sequence[str], y: str = "y", score: str = "prob
     return area.select(*keys, ratio(F.col("_u"), F.col("_p") * F.col("_m")).alias("auroc"))
 
 
-def auprc(pred: DataFrame, keys: Sequence[str], y: str = "y", score: str = "prob") -> DataFrame:
+def auprc(pred: DataFrame, keys: Sequence[str], y: str = "y", score: str = "prob", hot: bool | None = None) -> DataFrame:
     """Average precision: recall steps at descending distinct thresholds times precision."""
-    runs = running_sums(pred, keys, score, {"pos": F.col(y).cast("double"), "cnt": F.lit(1.0)})
+    runs = running_sums(pred, keys, score, {"pos": F.col(y).cast("double"), "cnt": F.lit(1.0)}, hot)
     hit = F.col("pos_total") - F.col("pos_before")
     seen = F.col("cnt_total") - F.col("cnt_before")
     step = F.col("pos") * ratio(hit, seen)
@@ -126,7 +126,8 @@ def classification_metrics(
         *keys, F.col("n").alias("n_test"), *[F.when(usable, c).alias(k) for k, c in cols.items()],
         F.when(usable, F.col("brier")).alias("brier"), usable.alias("_usable"),
     )
-    scored = scored.join(auroc(rows, keys, y, score), keys).join(auprc(rows, keys, y, score), keys)
+    hot = has_hot_key(rows, keys)
+    scored = scored.join(auroc(rows, keys, y, score, hot), keys).join(auprc(rows, keys, y, score, hot), keys)
     for c in ("auroc", "auprc"):
         scored = scored.withColumn(c, F.when(F.col("_usable"), F.col(c)))
     return scored.drop("_usable")
@@ -153,7 +154,7 @@ def multiclass_metrics(pred: DataFrame, keys: Sequence[str], classes: Sequence[i
     )
 
 
-def kendall_tau(pairs: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+def kendall_tau(pairs: DataFrame, keys: Sequence[str], x: str, y: str, hot: bool | None = None) -> DataFrame:
     """Exact tau-b without listing pairs.
 
     Discordant pairs are counted level by level over the bits of the x rank: at each
@@ -164,7 +165,9 @@ def kendall_tau(pairs: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFr
     keys = list(keys)
     rows = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     joint = rows.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("_w"))
-    ranks = running_sums(rows, keys, x, {"cnt": F.lit(1)}).select(
+    if hot is None:
+        hot = has_hot_key(rows, keys)
+    ranks = running_sums(rows, keys, x, {"cnt": F.lit(1)}, hot).select(
         *keys, x, F.col("cnt_before").alias("_rank"), F.col("cnt_total").alias("_n")
     )
     ranked = joint.join(ranks, [*keys, x])
@@ -177,6 +180,7 @@ def kendall_tau(pairs: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFr
     runs = running_sums(
         levels, bk, y,
         {"l": F.when(F.col("_right") == 0, F.col("_w")).otherwise(0), "r": F.when(F.col("_right") == 1, F.col("_w")).otherwise(0)},
+        hot,  # a block is a part of a key
     )
     above = F.col("l_total") - F.col("l_before") - F.col("l")
     discordant = runs.groupBy(*keys).agg(F.sum(F.col("r") * above).alias("_d"))
@@ -196,8 +200,9 @@ def kendall_tau(pairs: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFr
 
 
 def ranking_metrics(pred: DataFrame, keys: Sequence[str], y: str = "y", yhat: str = "yhat") -> DataFrame:
-    rho = spearman(pred, keys, y, yhat).drop("n")
-    return kendall_tau(pred, keys, y, yhat).join(rho, list(keys))
+    hot = has_hot_key(pred, list(keys))
+    rho = spearman(pred, keys, y, yhat, hot).drop("n")
+    return kendall_tau(pred, keys, y, yhat, hot).join(rho, list(keys))
 
 
 def metric_divergence(scores: DataFrame, r2_below: float = 0.02, rho_above: float = 0.05) -> DataFrame:

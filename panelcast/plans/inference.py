@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast import spec
-from panelcast.functions.pvalues import normal_upper
+from panelcast.functions.pvalues import normal_upper, signed_rank_upper
 from panelcast.operators import metrics, resample
 from panelcast.operators.metrics import ratio
 from panelcast.operators.order_stats import average_ranks
@@ -269,12 +269,18 @@ def wilcoxon(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+#: Up to this many untied differences the signed-rank distribution is exact.
+EXACT_ROWS = 50
+
+
 def wilcoxon_p(stat: DataFrame) -> DataFrame:
     n = F.col("n").cast("double")
     mean = n * (n + 1) / 4
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48
     z = ratio(F.col("w_plus") - mean, F.sqrt(var))
-    return stat.withColumn("p_value", normal_upper(z)).drop("_ties")
+    exact = (F.col("_ties") == 0) & (n <= EXACT_ROWS)
+    small = signed_rank_upper(F.when(exact, n), F.when(exact, F.col("w_plus")))
+    return stat.withColumn("p_value", F.when(exact, small).otherwise(normal_upper(z))).drop("_ties")
 
 
 def _vs_baseline(t: Tables) -> DataFrame:
@@ -288,11 +294,12 @@ def _vs_baseline(t: Tables) -> DataFrame:
 
 
 @query("wilcoxon_statistic", f"""WITH {SQL_MAJ_SCORES}, s AS (SELECT ms.*, target FROM ms JOIN grid USING (task_key)), pv AS (SELECT target, avg(prevalence) AS prev FROM s GROUP BY 1),
-  d AS (SELECT target, auprc - round(prev, 12) AS d FROM s JOIN pv USING (target)), nz AS (SELECT target, d, round(abs(d), 12) AS a FROM d WHERE d IS NOT NULL AND abs(d) > 1e-12),
-  r AS (SELECT *, rank() OVER (PARTITION BY target ORDER BY a) + (count(*) OVER (PARTITION BY target, a) - 1) / 2.0 AS rk FROM nz)
-SELECT target, coalesce(sum(rk) FILTER (d > 0), 0) AS w_plus, count(*) AS n FROM r GROUP BY target""")
+  d AS (SELECT target, 'auprc' AS metric, auprc - round(prev, 12) AS d FROM s JOIN pv USING (target) UNION ALL SELECT target, 'auroc', auroc - 0.5 FROM s UNION ALL SELECT target, 'mcc', mcc FROM s),
+  nz AS (SELECT target, metric, d, round(abs(d), 12) AS a FROM d WHERE d IS NOT NULL AND abs(d) > 1e-12),
+  r AS (SELECT *, rank() OVER (PARTITION BY target, metric ORDER BY a) + (count(*) OVER (PARTITION BY target, metric, a) - 1) / 2.0 AS rk FROM nz)
+SELECT target, metric, coalesce(sum(rk) FILTER (d > 0), 0) AS w_plus, count(*) AS n FROM r GROUP BY target, metric""")
 def wilcoxon_statistic(t: Tables) -> DataFrame:
-    return wilcoxon(_vs_baseline(t).where("metric = 'auprc'"), ["target"]).select("target", "w_plus", "n")
+    return wilcoxon(_vs_baseline(t), ["target", "metric"]).select("target", "metric", "w_plus", "n")
 
 
 @query("wilcoxon_vs_baseline")

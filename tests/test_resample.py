@@ -56,3 +56,17 @@ def test_changed_input_has_another_version(spark, tmp_path):
     assert first == stage.input_version(spark, str(tmp_path))
     spark.range(4).write.parquet(str(tmp_path / "b.parquet"))
     assert first != stage.input_version(spark, str(tmp_path))
+
+
+def test_signed_rank_tail_counts_all_sign_patterns(spark):
+    import itertools
+
+    from pyspark.sql import functions as F
+
+    from panelcast.functions.pvalues import signed_rank_upper
+
+    rows = [(n, w) for n in (1, 4, 7) for w in range(n * (n + 1) // 2 + 1)]
+    got = spark.createDataFrame(rows, "n int, w int").select("n", "w", signed_rank_upper(F.col("n"), F.col("w")).alias("p")).collect()
+    for r in got:
+        sums = [sum(k for k, s in enumerate(signs, 1) if s) for signs in itertools.product([0, 1], repeat=r.n)]
+        assert abs(r.p - np.mean(np.array(sums) >= r.w)) < 1e-12
