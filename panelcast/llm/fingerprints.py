@@ -71,13 +71,13 @@ def with_edits(docs: DataFrame) -> DataFrame:
     """
     stats = docs.agg(F.min("id"), F.max("id"), F.count(F.lit(1))).head()
     low, high, n = (stats[0] or 0), (stats[1] or 0), stats[2]
-    width = max(1, -(-(high - low + 1) * RANGE_ROWS // max(1, n)))
-    docs = docs.withColumn("part", F.floor((F.col("id") - F.lit(low)) / F.lit(width)).cast("long"))
+    width = min(1 << 62, max(1, -(-(high - low + 1) * RANGE_ROWS // max(1, n))))
+    docs = docs.withColumn("part", F.floor((F.col("id").cast("double") - F.lit(float(low))) / F.lit(float(width))).cast("long"))
     # One row per range: its first document, which follows the last one of the range above.
     tops = docs.groupBy("part").agg(F.max(F.struct("id", "text")).alias("top"))
     tops = write_stage(tops, "fingerprint-ranges")
-    below = F.lead("part").over(Window.orderBy(F.desc("part")))
-    chain = tops.select("part", F.coalesce(below, F.lit((high - low) // width)).alias("next_part"))
+    down = Window.orderBy(F.desc("part"))  # a row per range
+    chain = tops.select("part", F.coalesce(F.lead("part").over(down), F.first("part").over(down)).alias("next_part"))
     first = tops.select(F.col("part").alias("next_part"), F.col("top.text").alias("top_text"))
     chain = write_stage(chain.join(first, "next_part"), "fingerprint-chain")
     order = Window.partitionBy("part").orderBy(F.desc("id"), F.desc("text"))

@@ -189,16 +189,16 @@ class LanguageModel:
 
 def train(
     labelled: DataFrame, pieces: Sequence[bytes], text_col: str = "text", lang_col: str = "lang",
-    max_docs: int = 8000, rounds: int = 3,
+    max_docs: int = 8000, rounds: int = 3, id_col: str = "doc_id",
 ) -> LanguageModel:
     """Piece probabilities by language from labelled rows.
 
     ``max_docs`` is the documented bound on the labelled sample: where a language has more
-    rows, those with the smallest hash of their text are used, about ``max_docs`` of them. The
-    model has pieces x languages numbers, which is what comes back to the driver.
+    rows, those with the smallest hash of their id are used, about ``max_docs`` of them. The id
+    serves for nothing else. The model has pieces x languages numbers, which come back to the driver.
     """
     spark = labelled.sparkSession
-    rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col).alias("h"))
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.col("lang") != ""))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(sizes)
@@ -209,8 +209,8 @@ def train(
     if not n:
         return LanguageModel([], np.zeros(0), probs, lattice)
     share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, max_docs / sizes[k]))])
-    bucket = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.where(bucket < share[F.col("lang")])
+    bucket = F.pmod("h", F.lit(1 << 20)) / float(1 << 20)
+    sample = rows.where(bucket < share[F.col("lang")]).select("text", "lang")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number_of = {k: i for i, k in enumerate(languages)}

@@ -56,3 +56,6 @@ def test_small_tables(spark):
     one = fingerprints(df.where("doc_id = 7")).collect()
     assert one[0].near_edited == one[0].near_next == 1.0 and one[0].fingerprint == ""
     assert fingerprints(df.limit(0)).count() == 0
+    far = spark.createDataFrame([(-9 * 10**18, "a b"), (9 * 10**18, "c d e f")], "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprints(far).collect()}
+    assert {i: r.edited_sha256 for i, r in got.items()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in edited([(9 * 10**18, "c d e f"), (-9 * 10**18, "a b")]).items()}
