@@ -26,7 +26,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while True:
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = edges.join(least.withColumnRenamed("u", "lo"), "lo").select("hi", F.col("m").alias("lo")).where("hi <> lo").distinct()
+        large = edges.join(least.withColumnRenamed("u", "lo"), "lo").select("hi", F.col("m").alias("lo")).where("hi <> lo")
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").select(F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("m").alias("lo"))
         edges = write_stage(small.where("hi <> lo").distinct(), "components")

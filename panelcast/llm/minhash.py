@@ -115,7 +115,17 @@ def least_matches(threshold: float, miss: float) -> np.ndarray:
     return np.array(out)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, signed: DataFrame, size: int, percent: int, miss: float, name: str) -> DataFrame:
+def stored_sets(docs: DataFrame, size: int) -> DataFrame:
+    """``id`` and ``set``, the sorted 64-bit shingle hashes, of rows of (id, text)."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), size)], pa.binary())], names=["id", "set"])
+
+    return docs.mapInArrow(sets, f"id {docs.schema['id'].dataType.simpleString()}, set binary")
+
+
+def verified(pairs: DataFrame, full: DataFrame, signed: DataFrame, percent: int, miss: float, name: str) -> DataFrame:
     """Pairs (a, b) whose full shingle sets reach the threshold."""
     floor = least_matches(percent / 100, miss)
 
@@ -130,18 +140,11 @@ def verified(pairs: DataFrame, docs: DataFrame, signed: DataFrame, size: int, pe
                     alive = alive[found[alive] >= least]
                 yield batch.select([0, 1]).take(pa.array(alive))
 
-    kind = docs.schema["id"].dataType.simpleString()
+    kind = full.schema["id"].dataType.simpleString()
     sig = signed.select("id", "sig")
     both = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
     alive = write_stage(both.select("a", "b", "sa", "sb").mapInArrow(pruned, f"a {kind}, b {kind}"), f"{name}-alive")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), size)], pa.binary())], names=["id", "set"])
-
-    need = alive.select(F.col("a").alias("id")).union(alive.select("b")).distinct()
-    full = write_stage(docs.join(need, "id", "left_semi").mapInArrow(sets, f"id {kind}, set binary"), f"{name}-sets")
-
     @F.udf("boolean", useArrow=True)
     def linked(x, y):
         x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -189,9 +192,9 @@ def block_pairs(rest: pa.Table, other: pa.Table, percent: int) -> np.ndarray:
     return np.column_stack([i[good], j[good]])
 
 
-def across_components(now: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
+def across_components(now: DataFrame, full: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs (x, y) of one bucket but different components that reach the threshold."""
-    kind = docs.schema["id"].dataType.simpleString()
+    kind = full.schema["id"].dataType.simpleString()
     parts = now.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
     main = parts.groupBy("key").agg(F.max(F.struct("k", "c")).alias("most"), F.sum("k").alias("all"), F.count(F.lit(1)).alias("parts"))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
@@ -200,13 +203,13 @@ def across_components(now: DataFrame, docs: DataFrame, reps: DataFrame, size: in
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in shingle_sets(batch.column(1), size)]
+            sets = [(np.frombuffer(s, np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for s in batch.column(1).to_pylist()]
             keys = np.array(batch.column(2).to_pylist(), np.int64).astype(np.uint32)
             yield pa.record_batch([batch.column(0), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(sets, pa.binary())], names=["id", "keys", "set"])
 
     need = open_.select("id").distinct()
-    texts = docs.join(need, "id", "left_semi").join(reps.select("id", "bands"), "id")
-    loads = write_stage(texts.mapInArrow(packed, f"id {kind}, keys binary, set binary"), "minhash-loads")
+    own = full.join(need, "id", "left_semi").join(reps.select("id", "bands"), "id")
+    loads = write_stage(own.mapInArrow(packed, f"id {kind}, keys binary, set binary"), "minhash-loads")
     h = F.xxhash64("id")
     sides = open_.select(
         "key", "band", "id", "n", "c", "main",
@@ -277,12 +280,14 @@ def near_duplicates(
     to_pivot = members.select(F.col("id").alias("x"), F.col("pivot").alias("y"))
     to_half = members.drop("pivot").join(halves, ["key", "next"]).select(F.col("id").alias("x"), F.col("pivot").alias("y"))
     tried = write_stage(ordered(to_pivot.unionByName(to_half)), "minhash-pairs")
-    links = verified(tried, docs, reps, size, percent, miss, "minhash-first")
+    # The texts of documents that share a bucket move once, for their sets.
+    full = write_stage(stored_sets(docs.join(members.select("id").distinct(), "id", "left_semi"), size), "minhash-sets")
+    links = verified(tried, full, reps, percent, miss, "minhash-first")
     found = connected_components(links)
     now = members.select("key", "band", "id", "n").join(found.withColumnRenamed("node", "id"), "id", "left")
     now = write_stage(now.select("key", "band", "id", "n", F.coalesce("component", "id").alias("c")), "minhash-now")
-    left = write_stage(ordered(across_components(now, docs, reps, size, percent)), "minhash-across")
-    more = verified(left, docs, reps, size, percent, miss, "minhash-rest")
+    left = write_stage(ordered(across_components(now, full, reps, percent)), "minhash-across")
+    more = verified(left, full, reps, percent, miss, "minhash-rest")
     found = connected_components(links.unionByName(more))
 
     rows = signed.select("id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left")
