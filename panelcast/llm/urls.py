@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelcast.llm.lines import bound
 from panelcast.llm.registry import query, table
 from panelcast.sources.stage import write_stage
 
@@ -50,8 +51,10 @@ def lookups(captures: DataFrame) -> DataFrame:
     labels = F.split("host", r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, -i, i), "."))
     # The folders of the path, each with its closing slash: /a/b/c has /, /a/ and /a/b/.
-    folders = F.filter(F.transform(F.sequence(F.lit(1), F.length("path")), lambda i: F.when(F.substring("path", i, 1) == "/", i)), lambda i: i.isNotNull())
-    prefixes = F.transform(folders, lambda i: F.col("path").substr(F.lit(1), i))
+    def folders(parts: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")))
+
+    prefixes = bound(F.split("path", "/", -1), folders)
     hosts = F.transform(suffixes, lambda s: F.struct(s.alias("pattern"), (F.length(s).cast("long") * 1_000_000).alias("rank")))
     paths = F.transform(
         F.when(F.length("path") > 0, prefixes).otherwise(F.array().cast("array<string>")),
