@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 from panelcast import spec
 from panelcast.functions import text
 from panelcast.operators import cleaning, reshape
-from panelcast.operators.metrics import ratio
 from panelcast.operators.order_stats import average_ranks, exact_quantiles
 from panelcast.plans.cleaning import (
     ASSAY_TESTS, CSF, PLASMA, SQL_ASSAY, SQL_ASSAY_WHERE, assay_rows, baseline_assays,
 )
 from panelcast.plans.panel import (
-    ITEM_MEASURES, SQL_FOLDS, SQL_GRID, SQL_CALENDAR, SQL_PANEL, SQL_RAW, SQL_SCORES, SQL_STATIC, SQL_TASKS, Panel,
+    SQL_FOLDS, SQL_GRID, SQL_PANEL, SQL_RAW, SQL_SCORES, SQL_TASKS, Panel,
     fold_scores, with_task,
 )
 from panelcast.plans.registry import query, rnd

@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 from panelcast import spec
 from panelcast.functions.pvalues import student_t_two_sided
 from panelcast.operators import analyses, resample, tasks
-from panelcast.operators.metrics import ratio
 from panelcast.plans.evaluation import SQL_CLS, SQL_MAJ_SCORES, item_scores, majority_scores
 from panelcast.plans.inference import _SQL_MODEL, _SQL_REGIME, model_tests, regime_tests
 from panelcast.plans.panel import SQL_PANEL, SQL_SCORES, SQL_TASKS, Panel, fold_scores, with_task
 from panelcast.plans.registry import query, rnd
-from panelcast.plans.relational import _REG, _SQL_REG, _reg_targets, horizon_changes, split_stability
+from panelcast.plans.relational import _SQL_REG, _reg_targets, horizon_changes, split_stability
 from panelcast.sources.stage import staged
 from panelcast.sources.tables import Tables
 
