@@ -8,16 +8,20 @@ band key is the hash of the CONTEXT words from that shingle on, which keeps
 common phrases apart.
 
 Every key links its later documents with the first one that has it (smallest id),
-never all pairs. A linked pair is verified on both texts: equal runs of words are
+never all pairs. That holder may have only a part of what later documents share, so
+around every key of two documents or more all stretches of exactly ``min_words``
+words are keys besides, and each links its later documents with its own first
+holder. A linked pair is verified on both texts: equal runs of words are
 extended from the shared shingles, runs with small gaps are joined, and a block
 counts if it has at least ``min_words`` words and the Jaccard similarity of its
 five-word shingles to the other side is 0.8 or more (else its single runs are
 tried). The later document loses the block. Components of the verified links
 label the removals.
 
-A passage of 50 words or more that two documents share exactly always has a common key.
-As a document meets only the first holder of a key, a passage is missed if for each of
-its keys that holder has a shorter part of it.
+A passage of 50 words or more that two documents share exactly always has a common key,
+so each of its stretches is linked and exact repeats are complete for ``min_words`` of
+45 or more. An edited passage is missed if the first holder of each of its keys has
+only a shorter part of it.
 Words are compared with ASCII letters lowered. Null and empty texts, and texts
 under ``min_words`` words, have no passages. Rows with a null id take no part. Rows
 that share an id are never compared with each other, and each loses what was found
@@ -56,10 +60,10 @@ def text_words(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield word[own], chars[start[own]] - chars[offsets[a + i] - offsets[a]]
 
 
-def band_keys(word: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a text and their places, without those that repeat within a paragraph (as in periodic text)."""
+def band_keys(word: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of a text and their places; of repeats within a paragraph (as in periodic text) the first and the last place."""
     if len(word) < max(min_words, WINDOW):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     shingle, context = shingle_hashes(word, SHINGLE), shingle_hashes(word, CONTEXT)
     keys, places = [], []
     for band in range(BANDS):
@@ -73,7 +77,27 @@ def band_keys(word: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]
     order = np.lexsort((place, key))
     key, place = key[order], place[order]
     fresh = np.r_[True, (key[1:] != key[:-1]) | (place[1:] - place[:-1] > WINDOW)]
-    return key[fresh], place[fresh]
+    return key[fresh], place[fresh], place[np.r_[fresh[1:], True]]
+
+
+def exact_keys(word: np.ndarray, first: np.ndarray, last: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the stretches of ``size`` words around keys that are at ``first`` to ``last``.
+
+    Of equal ones that begin within ``size`` words of each other, two that cover the others are kept.
+    """
+    n = len(word) - size + 1
+    if n <= 0 or not len(first):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    begins = np.bincount(np.clip(first + CONTEXT - size, 0, n), minlength=n + 1)
+    ends = np.bincount(np.clip(last + 1, 0, n), minlength=n + 1)
+    at = np.flatnonzero(np.cumsum(begins - ends)[:n] > 0)
+    key = span_hashes(word, at, at + size).view(np.int64)
+    order = np.lexsort((at, key))
+    key, at = key[order], at[order]
+    fresh = np.ones(len(key) + 1, bool)
+    fresh[1:-1] = (key[1:] != key[:-1]) | (at[1:] // size != at[:-1] // size)
+    outer = fresh[:-1] | fresh[1:]
+    return key[outer], at[outer]
 
 
 def shared_blocks(x: np.ndarray, y: np.ndarray, hits: list[tuple[int, int]], min_words: int) -> list[tuple[int, int, int, int]]:
@@ -123,19 +147,40 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             found = [band_keys(word, min_words) for word, _ in text_words(batch.column(1))]
             if found:
-                sizes = [len(k) for k, _ in found]
-                keys, places = (np.concatenate(x) for x in zip(*found, strict=True))
+                sizes = [len(k) for k, _, _ in found]
+                keys, places, ends = (np.concatenate(x) for x in zip(*found, strict=True))
                 ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
-                yield pa.record_batch([ids, pa.array(keys), pa.array(places, pa.int32())], names=["id", "key", "at"])
-
-    keys = write_stage(docs.mapInArrow(keyed, f"id {kind}, key bigint, at int"), "passage-keys")
-    first = keys.groupBy("key").agg(F.min(F.struct("id", "at")).alias("first"), F.max("id").alias("last"))
-    first = write_stage(first.where("last > first.id").select("key", F.col("first.id").alias("other"), F.col("first.at").alias("other_at")), "passage-first")
-    hits = keys.join(first, "key").where("id > other")
-    hits = hits.groupBy("id", "other").agg(F.collect_set(F.struct("at", "other_at")).alias("hits"))
-    hits = write_stage(hits, "passage-hits")
-    need = hits.select("id").union(hits.select("other")).distinct()
-    texts = write_stage(docs.join(need, "id", "left_semi"), "passage-texts")
+                yield pa.record_batch([ids, pa.array(keys), pa.array(places, pa.int32()), pa.array(ends, pa.int32())], names=["id", "key", "at", "last_at"])
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spots = batch.column(2)
+            cuts, flat = spots.offsets.to_numpy(), spots.values
+            first, last = (flat.field(k).to_numpy().astype(np.int64) for k in range(2))
+            for i, (word, _) in enumerate(text_words(batch.column(1))):
+                own = slice(cuts[i], cuts[i + 1])
+                keys, places = exact_keys(word, first[own], last[own], min_words)
+                if len(keys):
+                    ids = batch.column(0).take(pa.array(np.full(len(keys), i)))
+                    yield pa.record_batch([ids, pa.array(keys), pa.array(places, pa.int32())], names=["id", "key", "at"])
+
+    def first_holders(keys: DataFrame) -> DataFrame:
+        first = keys.groupBy("key").agg(F.min(F.struct("id", "at")).alias("first"), F.max("id").alias("last"))
+        return first.where("last > first.id").select("key", F.col("first.id").alias("other"), F.col("first.at").alias("other_at"))
+
+    keys = write_stage(docs.mapInArrow(keyed, f"id {kind}, key bigint, at int, last_at int"), "passage-keys")
+    first = write_stage(first_holders(keys), "passage-first")
+    shared = write_stage(keys.join(first, "key").drop("key"), "passage-shared")
+    spots = shared.groupBy("id").agg(F.collect_set(F.struct("at", "last_at")).alias("spots"))
+    texts = write_stage(docs.join(spots, "id"), "passage-texts")
+    whole = write_stage(texts.mapInArrow(exact, f"id {kind}, key bigint, at int"), "passage-exact")
+    first = write_stage(first_holders(whole), "passage-exact-first")
+    # Stretches of one shift that begin within min_words of each other are part of one run.
+    run = [F.col("at") - F.col("other_at"), F.floor(F.col("at") / min_words)]
+    whole = whole.join(first, "key").where("id > other").groupBy("id", "other", *run).agg(F.min(F.struct("at", "other_at")).alias("hit"))
+    hits = shared.where("id > other").select("id", "other", F.struct("at", "other_at").alias("hit")).union(whole.select("id", "other", "hit"))
+    hits = write_stage(hits.groupBy("id", "other").agg(F.collect_set("hit").alias("hits")), "passage-hits")
+    texts = texts.drop("spots")
     pairs = hits.join(texts, "id").join(texts.select(F.col("id").alias("other"), F.col("text").alias("other_text")), "other")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -69,3 +69,32 @@ def test_near_passages_and_blocks(spark):
     x = np.arange(100, dtype=np.uint64)
     assert shared_blocks(x, x + np.uint64(1000), [(3, 3)], 10) == []
     assert repeated_passages(df.limit(0)).count() == 0
+
+
+def test_exact_passages_past_a_holder_of_a_part(spark):
+    rng = random.Random(8)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], set()
+    for n in (50, 55, 60, 70):
+        for _ in range(10):
+            whole, i = fresh(n), len(rows)
+            part, edited = whole[(n - 45) // 2 :][:45], list(whole)
+            edited[n // 3], edited[2 * n // 3] = "x", "y"
+            for held in (part, edited, whole, whole):
+                rows.append((len(rows), " ".join(fresh(80) + held + fresh(60))))
+            want.add((i + 3, i + 2, n))
+    # A key that comes again within a paragraph, and text with a period: the common part is far from the first place.
+    phrase, tail = fresh(10), fresh(50)
+    listed = [w for _ in range(8) for w in [*phrase, *fresh(15)]]
+    i = len(rows)
+    rows += [(i, " ".join(listed[:40] + fresh(70))), (i + 1, " ".join(fresh(40) + listed)), (i + 2, " ".join(fresh(9) + listed))]
+    rows += [(i + 3, "tick tock " * 300 + " ".join(tail)), (i + 4, "one tick tock tock " + "tick tock " * 400 + " ".join(fresh(60) + tail))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = repeated_passages(df).collect()
+    got = {}
+    for r in found:
+        spans = [m.span() for m in WORD.finditer(rows[r.doc_id][1])]
+        got.setdefault(r.doc_id, set()).update(k for k, (a, b) in enumerate(spans) if r.start <= a < r.end)
+    for k, places in common_runs(rows, 50).items():
+        assert places <= got.get(k, set()), (k, sorted(places - got.get(k, set())))
+    assert want <= {(r.doc_id, r.kept_id, r.n_words) for r in found}
