@@ -30,7 +30,7 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +46,7 @@ BUCKET_ROWS = 20_000
 
 @lru_cache(maxsize=2)
 def encoder(path: str, pattern: str):
-    """Encoder of a byte-level vocabulary file; strings of special tokens in a text are ordinary text."""
+    """Encoder of a byte-level vocabulary file; its added tokens have their own ids, also inside a text."""
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
@@ -54,9 +54,9 @@ def encoder(path: str, pattern: str):
     # Fixed rule of byte-level vocabularies: printable bytes stand for themselves, the others follow from 256 on.
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-    special = {t["content"] for t in vocabulary.get("added_tokens", [])}
+    special = {t["content"]: t["id"] for t in vocabulary.get("added_tokens", [])}
     ranks = {bytes(map(letters.__getitem__, t)): i for t, i in vocabulary["model"]["vocab"].items() if t not in special}
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
 def tokenise(docs: DataFrame, path: str, pattern: str, capacity: int = 2048, end: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -66,7 +66,7 @@ def tokenise(docs: DataFrame, path: str, pattern: str, capacity: int = 2048, end
     """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, pattern).encode_ordinary
+        encode = partial(encoder(path, pattern).encode, allowed_special="all")
         for batch in batches:
             rows: list[tuple[int, int, int, int, int]] = []
             for i, text in enumerate(batch.column(1)):

@@ -20,6 +20,18 @@ def test_encoder_has_the_ids_of_the_vocabulary_library(spark):
         assert own.encode_ordinary(t) == library.encode(t, add_special_tokens=False).ids
 
 
+def test_special_tokens_in_texts_have_their_ids(spark):
+    library = Tokenizer.from_file(PATH)
+    own = encoder(PATH, vocabularies.PATTERN)
+    mark = "<|endoftext|>"
+    texts = [mark, f"{mark} start", f"end {mark}", f"end {mark} start", mark * 2, f"{mark} {mark}\n{mark}", f"in{mark}side", f" a  {mark}  b", "<|endoftext", f"<{mark}|>", f"é{mark}漢\ud7ff", mark.upper()]
+    for t in texts:
+        assert own.encode(t, allowed_special="all") == library.encode(t, add_special_tokens=False).ids
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = {i: zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.ids_crc32 for r in tokenise(df, PATH, vocabularies.PATTERN).collect()} == want
+
+
 def test_configurations_reach_the_bound():
     sizes, demand = np.array([60, 40, 30]), np.array([10.0, 10.0, 20.0])
     got = configurations(sizes, demand, 100)
