@@ -12,10 +12,10 @@ never all pairs. That holder may have only a part of what later documents share,
 around every key of two documents or more all stretches of exactly ``min_words``
 words are keys besides, and each links its later documents with its own first
 holder. A linked pair is verified on both texts: equal runs of words are
-extended from the shared shingles, runs with small gaps are joined, and a block
-counts if it has at least ``min_words`` words and the Jaccard similarity of its
-five-word shingles to the other side is 0.8 or more (else its single runs are
-tried). The later document loses the block. Components of the verified links
+extended from the shared shingles and then, on both sides, over gaps of up to GAP
+words to the next equal shingle, and a block counts if it has at least ``min_words``
+words and the Jaccard similarity of its five-word shingles to the other side is 0.8
+or more (else its longest similar parts are tried). The later document loses the block. Components of the verified links
 label the removals.
 
 A passage of 50 words or more that two documents share exactly always has a common key,
@@ -42,7 +42,7 @@ from panelcast.llm.registry import query, table
 from panelcast.llm.words import LOWER, mix, shingle_hashes, slices, span_hashes, text_buffers, word_spans
 from panelcast.sources.stage import write_stage
 
-SHINGLE, WINDOW, CONTEXT, BANDS, GAP = 5, 40, 10, 2, 6
+SHINGLE, WINDOW, CONTEXT, BANDS, GAP = 5, 40, 10, 4, 6
 PERCENT = 80
 
 
@@ -102,32 +102,88 @@ def exact_keys(word: np.ndarray, first: np.ndarray, last: np.ndarray, size: int)
 
 def shared_blocks(x: np.ndarray, y: np.ndarray, hits: list[tuple[int, int]], min_words: int) -> list[tuple[int, int, int, int]]:
     """Verified blocks (begin and end in x, begin and end in y) around common places of two texts."""
-    runs = set()
-    by_shift: dict[int, list[int]] = {}
-    for i, j in hits:
-        by_shift.setdefault(i - j, []).append(i)
-    for shift, places in by_shift.items():
-        low, high = max(0, shift), min(len(x), len(y) + shift)
-        breaks = np.r_[low - 1, np.flatnonzero(x[low:high] != y[low - shift : high - shift]) + low, high]
-        for i in places:
-            k = int(np.searchsorted(breaks, i, "right"))
-            a, b = int(breaks[k - 1]) + 1, int(breaks[k])
-            if b > i:
-                runs.add((a, b, a - shift, b - shift))
-    blocks: list[list[tuple[int, int, int, int]]] = []
-    for run in sorted(runs):
-        if blocks:
-            last = blocks[-1][-1]
-            if 0 <= run[0] - last[1] <= GAP and 0 <= run[2] - last[3] <= GAP:
-                blocks[-1].append(run)
-                continue
-        blocks.append([run])
+
+    def run_at(i: int, j: int) -> tuple[int, int, int, int]:
+        """The equal run that has word i of x and word j of y."""
+        after, before = reach(x[i:], y[j:]), reach(x[:i][::-1], y[:j][::-1])
+        return i - before, i + after, j - before, j + after
+
+    def beyond(run: tuple[int, int, int, int], step: int) -> tuple[int, int, int, int] | None:
+        """The nearest run of a shingle or more after (step 1) or before (step -1) a run, past a gap of up to GAP words on either side."""
+        i, j = (run[1], run[3]) if step > 0 else (run[0] - SHINGLE, run[2] - SHINGLE)
+        for p, q in GAPS:
+            c, d = i + step * p, j + step * q
+            if 0 <= c <= len(x) - SHINGLE and 0 <= d <= len(y) - SHINGLE and x[c] == y[d] and (x[c : c + SHINGLE] == y[d : d + SHINGLE]).all():
+                a, b, shift = *run_at(c, d)[:2], c - d
+                # The run may reach back over words of the first one (as in periodic text): only what lies beyond counts.
+                a, b = (max(a, run[1], run[3] + shift), b) if step > 0 else (a, min(b, run[0], run[2] + shift))
+                return a, b, a - shift, b - shift
+        return None
+
+    seeds, last = set(), None
+    for shift, i in sorted((i - j, i) for i, j in hits):
+        if last and last[0] - last[2] == shift and i < last[1]:
+            continue
+        if 0 <= i < len(x) and 0 <= i - shift < len(y) and x[i] == y[i - shift]:
+            seeds.add(last := run_at(i, i - shift))
+    seen: set[tuple[int, int, int, int]] = set()
     out = []
-    for own in blocks:
+    for seed in sorted(seeds):
+        if seed in seen:
+            continue
+        chain = [seed]
+        for step in (1, -1):
+            last = seed
+            while (more := beyond(last, step)) and more not in seen:
+                chain.append(last := more)
+        chain.sort()
+        seen.update(chain)
+        out += [b for b in best_parts(x, y, chain) if b[1] - b[0] >= min_words]
+    return out
+
+
+def reach(u: np.ndarray, v: np.ndarray) -> int:
+    """How many words two stretches have in common from their beginning."""
+    n, at, size = min(len(u), len(v)), 0, 64
+    while at < n:
+        differ = np.flatnonzero(u[at : min(n, at + size)] != v[at : min(n, at + size)])
+        if len(differ):
+            return at + int(differ[0])
+        at, size = at + size, 2 * size
+    return n
+
+
+#: Words passed over in each text between two runs of a block, fewest first.
+GAPS = sorted(((p, q) for p in range(GAP + 1) for q in range(GAP + 1) if p or q), key=lambda g: (sum(g), abs(g[0] - g[1])))
+#: Runs of a chain whose parts are compared with each other.
+CHAIN = 500
+
+
+def best_parts(x: np.ndarray, y: np.ndarray, chain: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """The chain as one block if both sides are similar, else its longest similar part and those of what is left; single runs at least."""
+    todo, out = [chain], []
+    while todo:
+        own = todo.pop()
+        if not own:
+            continue
         whole = (own[0][0], own[-1][1], own[0][2], own[-1][3])
-        for a, b, c, d in [whole] if len(own) == 1 or similar(x[whole[0] : whole[1]], y[whole[2] : whole[3]]) else own:
-            if b - a >= min_words:
-                out.append((a, b, c, d))
+        if len(own) == 1 or similar(x[whole[0] : whole[1]], y[whole[2] : whole[3]]):
+            out.append(whole)
+            continue
+        if len(own) > CHAIN:
+            widest = max(range(1, len(own)), key=lambda k: own[k][0] - own[k - 1][1] + own[k][2] - own[k - 1][3])
+            todo += [own[:widest], own[widest:]]
+            continue
+        a, b, c, d = np.array(own).T
+        common = np.r_[0, np.cumsum(np.maximum(b - a - SHINGLE + 1, 0))]
+        both = common[None, 1:] - common[:-1, None]
+        size = (b[None] - a[:, None]) + (d[None] - c[:, None]) - 2 * (SHINGLE - 1) - both
+        fits = np.triu(100 * both >= PERCENT * size)
+        np.fill_diagonal(fits, True)
+        fits[0, -1] = False
+        length = np.where(fits, b[None] - a[:, None], -1)
+        i, j = np.unravel_index(int(length.argmax()), length.shape)
+        todo += [own[:i], own[i : j + 1], own[j + 1 :]]
     return out
 
 

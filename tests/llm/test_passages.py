@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from panelcast.llm.passages import remove_passages, repeated_passages, shared_blocks
+from panelcast.llm.passages import band_keys, remove_passages, repeated_passages, shared_blocks
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -98,3 +98,32 @@ def test_exact_passages_past_a_holder_of_a_part(spark):
     for k, places in common_runs(rows, 50).items():
         assert places <= got.get(k, set()), (k, sorted(places - got.get(k, set())))
     assert want <= {(r.doc_id, r.kept_id, r.n_words) for r in found}
+
+
+def test_recall_of_short_passages_with_an_edit():
+    rng = np.random.default_rng(9)
+    fresh = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    for n in (50, 55, 60):
+        for added in (0, 1):
+            met = 0
+            for _ in range(300):
+                base = fresh(n)
+                near = np.r_[base[: n // 2], fresh(1), base[n // 2 + 1 - added :]]
+                x, y = np.r_[fresh(90), near, fresh(80)], np.r_[fresh(120), base, fresh(50)]
+                (key, at, _), (other, other_at, _) = band_keys(x, 50), band_keys(y, 50)
+                place = dict(zip(other.tolist(), other_at.tolist(), strict=True))
+                hits = [(i, place[k]) for k, i in zip(key.tolist(), at.tolist(), strict=True) if k in place]
+                met += shared_blocks(x, y, hits, 50) == [(90, 90 + n + added, 120, 120 + n)]
+            assert met > 0.99 * 300, (n, added, met)
+
+
+def test_blocks_reach_over_gaps_from_one_hit():
+    x = np.arange(1000, 1200, dtype=np.uint64)
+    y = np.r_[x[:30], np.uint64(1), x[31:70], x[72:100], np.arange(110, dtype=np.uint64)]
+    for hit in ((3, 3), (40, 40), (90, 88)):
+        assert shared_blocks(x, y, [hit], 50) == [(0, 100, 0, 98)]
+    # Far pieces make the whole chain unlike: its longest similar part counts.
+    parts = np.r_[x[:60], np.arange(5, dtype=np.uint64), x[65:70], np.arange(6, dtype=np.uint64), x[76:81]]
+    assert shared_blocks(x, parts, [(0, 0)], 50) == shared_blocks(x, parts, [(66, 66)], 50) == [(0, 60, 0, 60)]
+    tick = np.tile(np.arange(3, dtype=np.uint64), 2000)
+    assert shared_blocks(tick, tick[:3000], [(0, 0), (5998, 1)], 50)
