@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast import spec
@@ -25,6 +25,11 @@ YEARS = dict(zip(range(1996, 2002), ["V02", "V04", "V06", "V08", "V10", "V12"]))
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
+def grid_table(spark: SparkSession) -> DataFrame:
+    """The task grid, written once per application; every plan that uses it reads one small file."""
+    return staged(spark, "specification", "grid", lambda: spec.task_grid(spark))
+
+
 class Panel:
     """Lazy DataFrames of the panel; nothing runs until a query uses one."""
 
@@ -122,7 +127,7 @@ class Panel:
 
     @cached_property
     def grid(self) -> DataFrame:
-        return spec.task_grid(self.spark)
+        return grid_table(self.spark)
 
     @cached_property
     def target_values(self) -> DataFrame:
@@ -178,7 +183,7 @@ def fold_scores(t: Tables) -> DataFrame:
 
 
 def with_task(df: DataFrame, t: Tables) -> DataFrame:
-    g = spec.task_grid(t.spark).select(
+    g = grid_table(t.spark).select(
         "task_key", "target", "domain", "task_type", "horizon", "horizon_months", "regime"
     )
     return df.join(F.broadcast(g), "task_key")

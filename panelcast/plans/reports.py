@@ -10,7 +10,7 @@ from panelcast.functions.pvalues import student_t_two_sided
 from panelcast.operators import analyses, resample, tasks
 from panelcast.plans.evaluation import SQL_CLS, SQL_MAJ_SCORES, item_scores, majority_scores
 from panelcast.plans.inference import _SQL_MODEL, _SQL_REGIME, model_tests, regime_tests
-from panelcast.plans.panel import SQL_PANEL, SQL_SCORES, SQL_TASKS, Panel, fold_scores, with_task
+from panelcast.plans.panel import SQL_PANEL, SQL_SCORES, SQL_TASKS, Panel, fold_scores, grid_table, with_task
 from panelcast.plans.registry import query, rnd
 from panelcast.plans.relational import _SQL_REG, _reg_targets, horizon_changes, split_stability
 from panelcast.sources.stage import staged
@@ -175,7 +175,7 @@ def qc_nonmonotonic(t: Tables) -> DataFrame:
 
 @query("qc_output_completeness", f"WITH {SQL_TASKS}, want AS (SELECT DISTINCT task_key FROM grid WHERE task_type = 'regression'), got AS (SELECT DISTINCT task_key FROM tt WHERE task_type = 'regression') SELECT CASE WHEN count(*) FILTER (got.task_key IS NULL) > 0 THEN 'FAIL' ELSE 'PASS' END AS status, count(got.task_key) AS n_task_predictions, count(*) FILTER (got.task_key IS NULL) AS n_missing FROM want LEFT JOIN got USING (task_key)")
 def qc_output_completeness(t: Tables) -> DataFrame:
-    want = spec.task_grid(t.spark).where("task_type = 'regression'").select("task_key")
+    want = grid_table(t.spark).where("task_type = 'regression'").select("task_key")
     got = Panel(t).naive_predictions.select("task_key").distinct().withColumn("ok", F.lit(1))
     rows = want.join(got, "task_key", "left")
     missing = F.count_if(F.col("ok").isNull())

@@ -11,7 +11,7 @@ from panelcast import spec
 from panelcast.operators import cleaning
 from panelcast.plans.cleaning import SQL_MESSY, messy_orders, sql_visit
 from panelcast.plans.evaluation import SQL_LEADERBOARD, leaderboard
-from panelcast.plans.panel import SQL_PANEL, SQL_PRED, SQL_SCORES, SQL_STATIC, SQL_TASKS, Panel, fold_scores
+from panelcast.plans.panel import SQL_PANEL, SQL_PRED, SQL_SCORES, SQL_STATIC, SQL_TASKS, Panel, fold_scores, grid_table
 from panelcast.plans.registry import query, rnd
 from panelcast.sources.stage import stage_folder
 from panelcast.sources.tables import Tables, scan_csv, write_partitioned
@@ -135,7 +135,7 @@ def shard_union(t: Tables) -> DataFrame:
     a = s.where("model = 'locf'")
     b = s.where("model = 'population_mean'").drop("pearson")
     merged = a.unionByName(b, allowMissingColumns=True).groupBy("task_key").agg(F.count(F.lit(1)).alias("n_rows"))
-    rows = spec.task_grid(t.spark).select("task_key").join(merged, "task_key", "left")
+    rows = grid_table(t.spark).select("task_key").join(merged, "task_key", "left")
     n = F.coalesce("n_rows", F.lit(0))
     return rows.select("task_key", n.alias("n_rows"), (n == 0).alias("missing"))
 

@@ -142,11 +142,14 @@ COHORT_SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD"]
 def calendar(spark: SparkSession) -> DataFrame:
     """calendar(visit, months, ord): the seven analysis visits."""
     rows = [(v, VISIT_MONTHS[v], i) for i, v in enumerate(VISIT_ORDER)]
-    return spark.createDataFrame(rows, "visit string, months int, ord int")
+    return spark.createDataFrame(rows, "visit string, months int, ord int").coalesce(1)
 
 
 def task_grid(spark: SparkSession, targets=None, regimes=None, horizons=None) -> DataFrame:
-    """One row per valid (target, regime, horizon): the horizon lies after the last history visit."""
+    """One row per valid (target, regime, horizon): the horizon lies after the last history visit.
+
+    The three tables have the size of the specification, so the product is one partition of broadcast loops.
+    """
     target = spark.createDataFrame(
         [(t.name, t.domain, t.modality, t.measure, t.task_type, t.rule, float(t.threshold), t.min_patients, t.primary_metric) for t in targets or ORDER_TARGETS],
         "target string, domain string, target_modality string, target_measure string, task_type string, rule string, threshold double, min_patients int, primary_metric string",
@@ -156,5 +159,6 @@ def task_grid(spark: SparkSession, targets=None, regimes=None, horizons=None) ->
         "regime string, regime_visits array<string>, multimodal boolean, history_months int",
     )
     horizon = spark.createDataFrame([(h, VISIT_MONTHS[h]) for h in horizons or HORIZONS], "horizon string, horizon_months int")
-    grid = target.crossJoin(regime).crossJoin(horizon).where("horizon_months > history_months").drop("history_months")
+    grid = target.coalesce(1).crossJoin(F.broadcast(regime.coalesce(1))).crossJoin(F.broadcast(horizon.coalesce(1)))
+    grid = grid.where("horizon_months > history_months").drop("history_months")
     return grid.select(F.concat_ws("__", "target", "regime", "horizon").alias("task_key"), *grid.columns)
