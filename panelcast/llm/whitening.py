@@ -147,7 +147,8 @@ def refined_eigenpairs(v: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray,
                 x[:, c] = part @ np.linalg.eigh((inner / unit).astype(float))[1].astype(np.longdouble)
         if not mixed and max(float(np.abs(r).max()), float(np.abs(away).max()) / norm) <= tiny:
             break
-    x = x / np.sqrt((x * x).sum(axis=0))
+    for _ in range(3):  # eigenvalues that differ by little more than rounding turn their vectors in every round: make them orthogonal at the end
+        x = x + x @ (one - x.T @ x) / 2
     values = (x * (a @ x)).sum(axis=0)
     order = np.argsort(-values, kind="stable")
     return (values[order] * np.longdouble(scale)).astype(float), x[:, order].astype(float)
