@@ -11,8 +11,9 @@ Anchors are dealt in the curve's order into groups. A group's positives are read
 from the blocks that hold an anchor's label and whose upper bound reaches the
 score that the anchor's own shard already offers; its negatives from the blocks
 whose bounds meet the window of one of its positives, [low * p, high * p] / 100,
-and that hold another label. A group meets a shard's chosen blocks in one task of
-bounded size, with one matrix product per slice; short lists are merged. All
+and that hold another label. Neighbouring shards form bundles of about one full
+shard, however many shards there are; a group meets a bundle's chosen blocks in one
+task of bounded size, with one matrix product per slice; short lists are merged. All
 blocks can be needed (high dimensions prune little), so the work is at most
 anchors x rows, in blocks; what is kept is always whole.
 
@@ -132,7 +133,7 @@ def blocks(rows: DataFrame, shard_rows: int = SHARD_ROWS, block_rows: int = BLOC
 
 
 def zone_maps(placed: DataFrame) -> DataFrame:
-    """``shard``, ``block``, ``low`` and ``high`` per dimension, and the ``labels`` of every block."""
+    """``shard``, ``block``, row count ``n``, ``low`` and ``high`` per dimension, and the ``labels`` of every block."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,20 +142,20 @@ def zone_maps(placed: DataFrame) -> DataFrame:
                 v, out = matrix(batch.column(2)).reshape(batch.num_rows, -1), []
                 for s, b in sorted(set(zip(shard.tolist(), block.tolist(), strict=True))):
                     here = (shard == s) & (block == b)
-                    out.append([s, b, v[here].min(axis=0).tolist(), v[here].max(axis=0).tolist(), np.unique(label[here]).tolist()])
-                kinds = [pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 3]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["shard", "block", "low", "high", "labels"])
+                    out.append([s, b, int(here.sum()), v[here].min(axis=0).tolist(), v[here].max(axis=0).tolist(), np.unique(label[here]).tolist()])
+                kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.list_(pa.int64())] * 3]
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["shard", "block", "n", "low", "high", "labels"])
 
-    shape = "shard int, block int, low array<bigint>, high array<bigint>, labels array<bigint>"
+    shape = "shard int, block int, n long, low array<bigint>, high array<bigint>, labels array<bigint>"
     parts = placed.select("shard", "block", "v", "label").mapInArrow(mapped, shape)
 
     def folded(column: str, pick) -> Column:
         # A block lies in one Arrow batch or a few, so the list is short.
         return F.aggregate(column, F.element_at(column, 1), lambda a, b: F.zip_with(a, b, lambda x, y: pick(x, y)))
 
-    lists = parts.groupBy("shard", "block").agg(*[F.collect_list(c).alias(c) for c in ("low", "high", "labels")])
+    lists = parts.groupBy("shard", "block").agg(F.sum("n").alias("n"), *[F.collect_list(c).alias(c) for c in ("low", "high", "labels")])
     return lists.select(
-        "shard", "block", folded("low", F.least).alias("low"), folded("high", F.greatest).alias("high"), F.array_distinct(F.flatten("labels")).alias("labels")
+        "shard", "block", "n", folded("low", F.least).alias("low"), folded("high", F.greatest).alias("high"), F.array_distinct(F.flatten("labels")).alias("labels")
     )
 
 
@@ -174,9 +175,9 @@ def top(some: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndar
 
 
 def merged(partial: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """Rank (from 1) and the k best (score, id) per key of short lists per shard, merged in two steps."""
+    """Rank (from 1) and the k best (score, id) per key of short lists per bundle, merged in two steps."""
     hit = F.array_distinct(F.collect_list(F.struct((-F.col("score")).alias("s"), "found")))
-    some = partial.groupBy(*keys, F.floor(F.col("shard") / 256).alias("part")).agg(F.slice(F.array_sort(hit), 1, k).alias("best"))
+    some = partial.groupBy(*keys, F.floor(F.col("bundle") / 256).alias("part")).agg(F.slice(F.array_sort(hit), 1, k).alias("best"))
     best = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k)
     each = some.groupBy(*keys).agg(best.alias("best")).select(*keys, F.posexplode("best").alias("at", "hit"))
     return each.select(*keys, (F.col("at") + 1).alias("rank"), F.col("hit.found").alias("found"), (-F.col("hit.s")).alias("score"))
@@ -190,7 +191,11 @@ class Mine:
 
     def __init__(self, rows: DataFrame, shard_rows: int, block_rows: int, group_rows: int):
         self.placed = blocks(rows, shard_rows, block_rows)
-        self.zones = write_stage(zone_maps(self.placed), "zone-maps")
+        zones = write_stage(zone_maps(self.placed), "zone-maps")
+        shards = zones.groupBy("shard").agg(F.sum("n").alias("rows"))
+        before = F.coalesce(F.sum("rows").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per shard
+        shards = shards.select("shard", F.floor(before / shard_rows).alias("bundle"))
+        self.zones = write_stage(zones.drop("n").join(shards, "shard"), "zone-bundles")
         self.zone_chunks = 1 + self.zones.count() // 4096
         self.group_rows = group_rows
 
@@ -217,7 +222,7 @@ class Mine:
         return found.join(sizes, "shard").withColumn("grp", F.floor(place / self.group_rows)).drop("shard", "n", "before")
 
     def search(self, anchors: DataFrame, columns: list[str], needs, solve, shape: str) -> DataFrame:
-        """``solve(anchors, rows)`` of every group with its needed blocks of a shard, as tables.
+        """``solve(anchors, rows)`` of every group with its needed blocks of a bundle, as tables.
 
         ``needs(anchors, low, high, zones)`` tells which blocks at least one anchor of a group must read,
         from its bounds for every (anchor, block).
@@ -234,13 +239,14 @@ class Mine:
                 box = [matrix(right[c]).reshape(right.num_rows, -1) for c in ("low", "high")]
                 for i in range(0, len(a), 256):
                     picked |= needs(left.slice(i, 256), *bounds(a[i : i + 256], *box), right).any(axis=0)
-            return right.select(["grp", "shard", "block"]).filter(pa.array(picked))
+            return right.select(["grp", "bundle", "shard", "block"]).filter(pa.array(picked))
 
-        need = asking.groupBy("grp", "chunk").cogroup(zones.groupBy("grp", "chunk")).applyInArrow(chosen, "grp long, shard int, block int")
+        need = asking.groupBy("grp", "chunk").cogroup(zones.groupBy("grp", "chunk")).applyInArrow(chosen, "grp long, bundle long, shard int, block int")
         need = write_stage(need, "needed-blocks")
-        data = self.placed.join(need, ["shard", "block"]).select("grp", "shard", "id", F.col("v").alias("x"), "label")
-        asked = anchors.select("grp", "v", *columns).join(need.select("grp", "shard").distinct(), "grp")
-        return asked.groupBy("grp", "shard").cogroup(data.groupBy("grp", "shard")).applyInArrow(solve, shape)
+        data = self.placed.join(need, ["shard", "block"]).select("grp", "bundle", "id", F.col("v").alias("x"), "label")
+        met = need.select(F.col("grp").alias("grp"), F.col("bundle").alias("bundle")).distinct()
+        asked = anchors.select("grp", "v", *columns).join(met, "grp")
+        return asked.groupBy("grp", "bundle").cogroup(data.groupBy("grp", "bundle")).applyInArrow(solve, shape)
 
 
 def table_of(rows: list[tuple], shape: str) -> pa.Table:
@@ -280,11 +286,11 @@ def mine(
         out = []
         if left.num_rows and right.num_rows:
             ids, kind, x = right["id"].to_numpy(), right["label"].to_numpy(), matrix(right["x"]).reshape(right.num_rows, -1)
-            a, shard = matrix(left["v"]).reshape(left.num_rows, -1), right["shard"][0].as_py()
+            a, bundle = matrix(left["v"]).reshape(left.num_rows, -1), right["bundle"][0].as_py()
             anchor, own, label_, sure = (left[c].to_numpy() for c in ("anchor", "own", "label", "sure"))
             for i, score in enumerate(s for at in range(0, len(a), 256) for s in products(a[at : at + 256], x)):
                 best = top(np.flatnonzero((kind == label_[i]) & (ids != anchor[i]) & (score >= sure[i])), score, ids, positives)
-                out.append((np.full(len(best), anchor[i]), np.full(len(best), own[i]), np.full(len(best), shard), ids[best], score[best]))
+                out.append((np.full(len(best), anchor[i]), np.full(len(best), own[i]), np.full(len(best), bundle), ids[best], score[best]))
         return table_of(out, POSITIVE)
 
     found = job.search(anchors, [*ANCHOR, "label", "sure"], may_hold_positives, positives_of, POSITIVE)
@@ -304,7 +310,7 @@ def mine(
         out = []
         if left.num_rows and right.num_rows:
             ids, kind, x = right["id"].to_numpy(), right["label"].to_numpy(), matrix(right["x"]).reshape(right.num_rows, -1)
-            a, shard = matrix(left["v"]).reshape(left.num_rows, -1), right["shard"][0].as_py()
+            a, bundle = matrix(left["v"]).reshape(left.num_rows, -1), right["bundle"][0].as_py()
             anchor, own, label_ = (left[c].to_numpy() for c in (*ANCHOR, "label"))
             pids, scores = left["pid"].to_pylist(), left["ps"].to_pylist()
             for i, score in enumerate(s for at in range(0, len(a), 256) for s in products(a[at : at + 256], x)):
@@ -312,7 +318,7 @@ def mine(
                 for place, (pid, p) in enumerate(zip(pids[i], scores[i], strict=True)):
                     some = np.flatnonzero(other & (100 * score >= least * p) & (100 * score <= most * p))
                     best = top(some, score, ids, negatives)
-                    same = [np.full(len(best), c) for c in (anchor[i], own[i], place, pid, p, shard)]
+                    same = [np.full(len(best), c) for c in (anchor[i], own[i], place, pid, p, bundle)]
                     out.append((*same, ids[best], score[best]))
         return table_of(out, NEGATIVE)
 
@@ -324,8 +330,8 @@ def mine(
     )
 
 
-POSITIVE = "anchor long, own long, shard long, found long, score long"
-NEGATIVE = "anchor long, own long, place long, positive long, ps long, shard long, found long, score long"
+POSITIVE = "anchor long, own long, bundle long, found long, score long"
+NEGATIVE = "anchor long, own long, place long, positive long, ps long, bundle long, found long, score long"
 
 SQL_HARD_NEGATIVES = """
 WITH v AS (
