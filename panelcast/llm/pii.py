@@ -13,8 +13,8 @@ it and the two words after it. Mentions and contexts form a bipartite graph:
 
 Accepted values are seeds of the next round, everywhere they occur, until a round
 accepts none. Only DataFrame functions are used. One pass over the texts finds spans
-and mentions, a second counts the word pairs that are contexts of a mention; texts
-are not shuffled. Rounds work on the mentions alone, with combined counts per
+and mentions, a second counts the word pairs that are contexts of enough mentions;
+texts are not shuffled. Rounds work on the mentions alone, with combined counts per
 (context, kind, value), so a frequent context or value is never gathered.
 
 Patterns are written so that the engine's matcher needs no stack and linear time:
@@ -48,6 +48,8 @@ _WORD = rf"[^{BLANK}0-9@]*+[0-9@][^{BLANK}]*+"
 MENTION = rf"(?<![^{BLANK}]){_WORD}(?:\x20{_WORD})*+"
 #: A context needs this share of its occurrences, and so many different known values; a value needs the other score.
 MIN_SHARE, MIN_VALUES, MIN_SCORE = 0.8, 3, 0.8
+#: Entries of the table that rules out word pairs; it has this size at every input.
+SLOTS = 1 << 18
 
 
 def bound(value: Column, body) -> Column:
@@ -182,31 +184,53 @@ def forms(value: Column) -> Column:
     return F.filter(F.array(*[F.when(rule, F.lit(i)) for i, rule in enumerate(rules)]), lambda k: k.isNotNull())
 
 
+def open_contexts(graph: DataFrame, min_share: float = MIN_SHARE, min_values: int = MIN_VALUES) -> DataFrame:
+    """Contexts that may ever be accepted, judged by their mentions alone.
+
+    A share of ``min_share`` leaves at most the rest of a context's mentions to values that are not, and cannot
+    become, of the kind; it also needs ``min_values`` different ones. No other context can be accepted in any round.
+    """
+    kinds = F.when(F.col("kind") >= 0, F.array("kind")).otherwise(F.col("forms"))
+    all_ = graph.groupBy("context").agg(F.sum("n").alias("all_mentions"))
+    each = graph.select("context", "value", "n", F.explode(kinds).alias("kind")).groupBy("context", "kind", "value").agg(F.sum("n").alias("n"))
+    each = each.groupBy("context", "kind").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("own")).where(F.col("values") >= min_values)
+    return each.join(all_, "context").where(F.col("own") >= min_share * F.col("all_mentions")).select("context").distinct()
+
+
 def context_totals(docs: DataFrame, contexts: DataFrame) -> DataFrame:
-    """``context`` and ``total``: how often each context of a mention occurs in all texts.
+    """``context`` and ``total``: how often each of ``contexts`` occurs in all texts.
 
     A left context occurs where its two words stand, a right one likewise; the text's ends count as words.
-    Pairs are combined before they are shuffled, and the wanted ones kept.
+    A table of SLOTS bytes, of fixed size, tells most other word pairs apart before any row is made;
+    what it lets through is combined and joined.
     """
+    slot = F.pmod("context", F.lit(SLOTS)).cast("int")
+    mask = bytearray(SLOTS)
+    for r in contexts.select(slot.alias("slot")).distinct().collect():  # at most SLOTS rows
+        mask[r["slot"]] = 1
+    filled = F.lit(bytes(mask))
+
+    def wanted(context: Column) -> Column:
+        return F.substring(filled, F.pmod(context, F.lit(SLOTS)).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
+
     words = F.filter(F.split(F.translate(F.lower("text"), "\n\r\t\f\v", "     "), " +"), lambda w: w != "")
 
-    def pairs(w: Column) -> Column:
+    def of(w: Column) -> Column:
         n = F.size(w)
-        inner = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.struct(F.element_at(w, i).alias("a"), F.element_at(w, i + 1).alias("b"))))
-        return F.coalesce(inner, F.array().cast("array<struct<a:string,b:string>>"))
-
-    ends = F.array(
-        F.struct(_hash("left", F.concat_ws(" ", F.element_at("w", 1), F.lit("^"))).alias("context")),
-        F.struct(_hash("right", F.concat_ws(" ", F.element_at("w", -1), F.lit("$"))).alias("context")),
-        F.struct(_hash("left", F.lit("^")).alias("context")), F.struct(_hash("right", F.lit("$")).alias("context")),
-    )
-    split = docs.select(words.alias("w")).where(F.size("w") > 0)
-    inner = split.select(F.explode(pairs(F.col("w"))).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
-    sides = F.explode(F.array(_hash("left", F.concat_ws(" ", "b", "a")), _hash("right", F.concat_ws(" ", "a", "b"))))
-    inner = inner.select("n", sides.alias("context"))
-    outer = split.select(F.explode(ends).alias("e")).groupBy("e.context").agg(F.count(F.lit(1)).alias("n")).select("n", "context")
-    wanted = contexts.select("context").distinct()
-    return inner.unionByName(outer).join(wanted, "context", "left_semi").groupBy("context").agg(F.sum("n").alias("total"))
+
+        def pair(i: Column) -> Column:
+            a, b = F.element_at(w, i), F.element_at(w, i + 1)
+            return F.filter(F.array(_hash("left", F.concat_ws(" ", b, a)), _hash("right", F.concat_ws(" ", a, b))), wanted)
+
+        ends = F.array(
+            _hash("left", F.concat_ws(" ", F.get(w, F.lit(0)), F.lit("^"))), _hash("right", F.concat_ws(" ", F.get(w, n - 1), F.lit("$"))),
+            _hash("left", F.lit("^")), _hash("right", F.lit("$")),
+        )
+        inner = F.when(n > 1, F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), pair)))
+        return F.concat(F.coalesce(inner, F.array().cast("array<bigint>")), F.filter(ends, wanted))
+
+    found = docs.select(F.explode(bound(words, of)).alias("context")).groupBy("context").agg(F.count(F.lit(1)).alias("total"))
+    return found.join(contexts, "context", "left_semi")
 
 
 def discover(graph: DataFrame, totals: DataFrame, min_share: float = MIN_SHARE, min_values: int = MIN_VALUES, min_score: float = MIN_SCORE) -> DataFrame:
@@ -259,9 +283,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limi
     sides = F.explode(F.array("left", "right")).alias("context")
     graph = each.where("kind > -2").select("value", "kind", "forms", sides).groupBy("value", "kind", "context").agg(F.first("forms").alias("forms"), F.count(F.lit(1)).alias("n"))
     graph = write_stage(graph, "pii-graph")
-    seeded = graph.where("kind >= 0 or size(forms) > 0").select("context")
-    totals = write_stage(context_totals(docs, seeded), "pii-totals")
-    new = discover(graph, totals, **limits)
+    contexts = write_stage(open_contexts(graph, **{k: v for k, v in limits.items() if k != "min_score"}), "pii-contexts")
+    totals = write_stage(context_totals(docs, contexts), "pii-totals")
+    new = discover(write_stage(graph.join(contexts, "context", "left_semi"), "pii-open"), totals, **limits)
     added = each.where("kind = -1").join(new.withColumnRenamed("kind", "as"), "value")
     added = added.select("k1", "k2", F.struct(F.col("as").alias("kind"), "start", "end").alias("s")).groupBy("k1", "k2").agg(F.collect_set("s").alias("more"))
     out = rows.drop("mentions").join(added, ["k1", "k2"], "left")
