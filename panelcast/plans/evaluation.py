@@ -183,12 +183,12 @@ stats AS (SELECT k2.task_key, k2.fold, k2.feature, kind, CASE WHEN kind <> 'cont
   FROM k2 JOIN modes USING (task_key, fold, feature) LEFT JOIN mom USING (task_key, fold, feature))"""
 
 
-def norm_stats(t: Tables) -> DataFrame:
-    """Statistics of the first seed's folds, stored as a stage table."""
-    p = Panel(t)
-    first = p.all_folds.where(F.col("seed") == spec.CV_SEEDS[0])
-    counts = staged(t.spark, t.version, "norm_counts", lambda: normalise.training_counts(p.features, first))
-    return staged(t.spark, t.version, "norm_stats", lambda: normalise.fit(counts))
+def norm_stats(t: Tables, seeds: tuple[int, ...] = (spec.CV_SEEDS[0],)) -> DataFrame:
+    """Statistics of the seeds' folds, stored as a stage table."""
+    p, name = Panel(t), "_".join(map(str, seeds))
+    rows = p.all_folds.where(F.col("seed").isin(list(seeds)))
+    counts = staged(t.spark, t.version, f"norm_counts_{name}", lambda: normalise.training_counts(p.features, rows))
+    return staged(t.spark, t.version, f"norm_stats_{name}", lambda: normalise.fit(counts))
 
 
 @query("normaliser_fit", f"""WITH {_SQL_NORM} SELECT task_key, CAST(fold AS INT) AS fold, feature, kind, round(mode, 4) AS mode, round(lo, 6) AS lo, round(hi, 6) AS hi,

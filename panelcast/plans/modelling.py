@@ -1,8 +1,8 @@
 """Fitted models: linear, mixed-effects and tree families, ablation and importance.
 
-Linear and mixed models run for every task of the first seed. Tree models are
-fitted by Spark ML on a representative task with a short grid; the full grid is
-``spec.GRIDS``.
+Linear and mixed models run for every task, seed and fold, through a prediction store
+that goes on where it was stopped. Tree models are fitted by Spark ML on a representative
+task of the first seed with a short grid; the full grid is ``spec.GRIDS``.
 """
 
 from __future__ import annotations
@@ -16,10 +16,11 @@ from panelcast.operators import folds as fold_ops
 from panelcast.operators import metrics, normalise, tasks
 from panelcast.plans.evaluation import norm_stats
 from panelcast.plans.inference import ablation_tests_from
-from panelcast.plans.panel import Panel, fold_scores, with_task
+from panelcast.plans.panel import SQL_FOLDS, Panel, fold_scores, with_task
 from panelcast.plans.registry import query, rnd
 from panelcast.plans.relational import visit_doses
-from panelcast.sources.stage import staged
+from panelcast.sources.predictions import PredictionStore
+from panelcast.sources.stage import staged, store_folder
 from panelcast.sources.tables import Tables
 
 KEYS = ["task_key", "seed", "fold"]
@@ -37,22 +38,18 @@ TREE_FOLDS = (0, 1)
 ONE_POINT = {"n_estimators": [5], "max_depth": [3], "learning_rate": [0.1]}
 
 
-def first_seed(t: Tables) -> DataFrame:
-    return Panel(t).all_folds.where(F.col("seed") == SEED)
-
-
 def vectors(t: Tables) -> DataFrame:
-    """Normalised rows of the first seed, every task and fold."""
+    """Normalised rows of every task, seed and fold."""
 
     def build() -> DataFrame:
-        features, folds = Panel(t).features, first_seed(t)
-        return normalise.fold_vectors(features, folds, normalise.kept_stats(features, folds, norm_stats(t)))
+        features, folds = Panel(t).features, Panel(t).all_folds
+        return normalise.fold_vectors(features, folds, normalise.kept_stats(features, folds, norm_stats(t, tuple(spec.CV_SEEDS))))
 
     return staged(t.spark, t.version, "vectors", build)
 
 
 def inner(t: Tables) -> DataFrame:
-    return staged(t.spark, t.version, "inner", lambda: fold_ops.inner_folds(first_seed(t).drop("task_type"), Panel(t).grid))
+    return staged(t.spark, t.version, "inner", lambda: fold_ops.inner_folds(Panel(t).all_folds.drop("task_type"), Panel(t).grid))
 
 
 def _continuous(t: Tables) -> DataFrame:
@@ -71,9 +68,9 @@ def linear_predictions(t: Tables) -> DataFrame:
 def mixed_predictions(t: Tables) -> DataFrame:
     def build() -> DataFrame:
         p = Panel(t)
-        folds = first_seed(t).where("task_type = 'regression'").drop("task_type")
+        folds = p.folds("regression")
         months = {r["task_key"]: r["horizon_months"] for r in p.grid.select("task_key", "horizon_months").collect()}
-        back = p.naive_predictions.where((F.col("model") == "locf") & (F.col("seed") == SEED))
+        back = p.naive_predictions.where(F.col("model") == "locf")
         return mixed.predict_mixed(folds, p.history, months, back)
 
     return staged(t.spark, t.version, "mixed_pred", build)
@@ -120,23 +117,82 @@ def ranking_models(t: Tables) -> DataFrame:
     return m.select(*KEYS, "model", "n_test", rnd("spearman").alias("spearman"), rnd("kendall_tau").alias("kendall_tau"))
 
 
+#: Models of the store by task type.
+STORE_MODELS = {"regression": ["population_mean", "locf", "ridge", "elastic_net", "lme"], "classification": ["majority_class"], "ranking": ["ridge", "elastic_net"]}
+
+
+def expected_runs(t: Tables) -> DataFrame:
+    """(task_key, seed, fold, model, n_train) of all runs there should be: tasks that pass the gate x seeds x folds x models."""
+    p = Panel(t)
+    sizes = naive.train_summary(p.all_folds).select(*KEYS, "n_train").join(F.broadcast(p.grid.select("task_key", "task_type")), "task_key")
+    models = F.create_map(*[x for k, v in STORE_MODELS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    return sizes.select(*KEYS, F.explode(F.element_at(models, F.col("task_type"))).alias("model"), "n_train")
+
+
+def fitters(t: Tables) -> dict:
+    """How the store gets a model's predictions of open keys."""
+    p = Panel(t)
+
+    def linear_fitter(model: str):
+        def fit(asked: DataFrame):
+            names = asked.select(*KEYS)
+            rows = _continuous(t).join(names, KEYS, "left_semi")
+            fits = linear_fits(t).where(F.col("model") == model).join(names, KEYS, "left_semi")
+            chosen = F.create_map(F.lit("alpha"), F.col("alpha").cast("string"), F.lit("l1_ratio"), F.col("l1_ratio").cast("string"))
+            params = fits.select(*KEYS, "model", F.when(F.col("error").isNull(), F.to_json(chosen)).alias("best_params"), "error")
+            return linear.predict_linear(rows, fits), params
+
+        return fit
+
+    return {
+        "population_mean": lambda asked: (p.naive_predictions.where("model = 'population_mean'"), None),
+        "locf": lambda asked: (p.naive_predictions.where("model = 'locf'"), None),
+        "majority_class": lambda asked: (naive.majority_class(p.folds("classification")), None),
+        "ridge": linear_fitter("ridge"),
+        "elastic_net": linear_fitter("elastic_net"),
+        "lme": lambda asked: (mixed_predictions(t), None),
+    }
+
+
+def store(t: Tables, models: tuple[str, ...] | None = None) -> PredictionStore:
+    """The prediction store of these tables, complete for ``models`` (all by default)."""
+    place = PredictionStore(t.spark, store_folder(t.spark, t.version), dict(Panel(t).all_folds.dtypes)["entity_id"])
+    have = fitters(t)
+    place.complete(expected_runs(t), {m: have[m] for m in models or have})
+    return place
+
+
 @query("outer_cv_run")
 def outer_cv_run(t: Tables) -> DataFrame:
-    """Fold results of all models fitted for every regression task, with training sizes and tuned parameters."""
-    p = Panel(t)
-    pred = _regression_only(linear_predictions(t), t).unionByName(mixed_predictions(t))
-    ref = p.naive_predictions.where(F.col("seed") == SEED).select(pred.columns)
-    scores = metrics.regression_metrics(pred.unionByName(ref), [*KEYS, "model"])
-    sizes = naive.train_summary(first_seed(t)).select(*KEYS, "n_train")
-    params = F.create_map(F.lit("alpha"), F.col("alpha").cast("string"), F.lit("l1_ratio"), F.col("l1_ratio").cast("string"))
-    tuned = linear_fits(t).select(*KEYS, "model", F.to_json(params).alias("best_params"))
-    rows = scores.join(sizes, KEYS).join(tuned, [*KEYS, "model"], "left").where("n_test >= 5")
+    """Fold results of every task, seed, fold and stored model, error rows included, with training sizes and tuned parameters."""
+    place = store(t)
+    pred, kinds = place.predictions(), Panel(t).grid.select("task_key", "task_type")
+    pred = pred.join(F.broadcast(kinds), "task_key")
+    by = [*KEYS, "model"]
+    scores = metrics.regression_metrics(pred.where("task_type <> 'classification'"), by).select(*by, "r2", "spearman", F.lit(None).cast("double").alias("auprc"))
+    classes = metrics.classification_metrics(pred.where("task_type = 'classification'"), by)
+    scores = scores.unionByName(classes.select(*by, F.lit(None).cast("double").alias("r2"), F.lit(None).cast("double").alias("spearman"), "auprc"))
+    rows = place.runs().join(scores, by, "left")
     return with_task(rows, t).select(
-        "task_key", "target", "horizon", "regime", "model", "seed", "fold", "n_train", "n_test", rnd("r2").alias("r2"),
-        rnd("spearman").alias("spearman"), "best_params", F.lit(None).cast("string").alias("error"),
+        "task_key", "target", "horizon", "regime", "task_type", "model", "seed", "fold", "n_train", "n_test",
+        rnd("r2").alias("r2"), rnd("spearman").alias("spearman"), rnd("auprc").alias("auprc"), "best_params", "error",
     )
 
 
+def _sql_models() -> str:
+    return ", ".join(f"('{k}', '{m}')" for k, v in STORE_MODELS.items() for m in v)
+
+
+@query("outer_cv_coverage", f"""WITH {SQL_FOLDS}, models(task_type, model) AS (VALUES {_sql_models()}),
+  n AS (SELECT task_key, task_type, seed, fold, count(*) AS n_test FROM folds GROUP BY ALL),
+  whole AS (SELECT task_key, seed, sum(n_test) AS total FROM n GROUP BY ALL)
+SELECT task_key, seed, fold, model, CAST(total - n_test AS BIGINT) AS n_train, CAST(n_test AS BIGINT) AS n_test, false AS failed
+FROM n JOIN whole USING (task_key, seed) JOIN models USING (task_type)""")
+def outer_cv_coverage(t: Tables) -> DataFrame:
+    """Every expected run of the store with its training and test size."""
+    return store(t).runs().select(*KEYS, "model", "n_train", "n_test", F.col("error").isNotNull().alias("failed"))
+
+
 def tree_run(t: Tables, model: str, task: str, grid: dict, folds=TREE_FOLDS, source: DataFrame | None = None):
     keys = [(task, SEED, f) for f in folds]
     return trees.tune_and_predict(source if source is not None else vectors(t), inner(t), model, keys, grid)
@@ -173,7 +229,7 @@ def model_boosted_trees_clf(t: Tables) -> DataFrame:
 
 
 def _names(t: Tables, task: str, fold: int) -> list[str]:
-    here = vectors(t).where((F.col("task_key") == task) & (F.col("fold") == fold))
+    here = vectors(t).where((F.col("task_key") == task) & (F.col("fold") == fold) & (F.col("seed") == SEED))
     return list(here.select("features").first()[0])  # a feature list, not data
 
 
@@ -187,13 +243,13 @@ def importances(t: Tables, task: str = TREE_TASK, top: int = 20) -> list[tuple[s
 
 @query("permutation_importance")
 def permutation_importance(t: Tables) -> DataFrame:
-    """R2 lost when one feature is shuffled among the test rows, ridge models of fold 0, top 20 per task.
+    """R2 lost when one feature is shuffled among the test rows, ridge models of every seed and fold, top 20 per key.
 
     The shuffled value is the one of the next row in hash order, found by position.
     """
     from panelcast.operators.order_stats import number_in_order
 
-    rows = vectors(t).where("is_test and fold = 0")
+    rows = vectors(t).where(F.col("is_test"))
     hashed = rows.withColumn("_h", F.md5(F.concat_ws("|", F.lit(spec.TEST_SEED), "entity_id")))
     placed = number_in_order(hashed, KEYS, "_h", "entity_id", "_pos")
     n = placed.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"))
@@ -317,14 +373,14 @@ def sensitivity_with_without_modality(t: Tables) -> DataFrame:
         values = p.target_values.join(F.broadcast(names), ["target", "horizon"], "left_semi")
         features = staged(t.spark, t.version, "dose_features", lambda: tasks.task_features(dosed, p.static, grid, values))
         kept = F.broadcast(grid.select("task_key"))
-        folds = first_seed(t).join(kept, "task_key", "left_semi").drop("task_type")
+        folds = Panel(t).all_folds.join(kept, "task_key", "left_semi").drop("task_type")
         counts = staged(t.spark, t.version, "dose_counts", lambda: normalise.training_counts(features, folds))
         stats = normalise.kept_stats(features, folds, normalise.fit(counts))
         dosed_rows = staged(t.spark, t.version, "dose_vectors", lambda: normalise.fold_vectors(features, folds, stats))
         return linear.ablate_modalities(dosed_rows, inner(t))
 
     rows = staged(t.spark, t.version, "dose_ablation", build).where("dropped_modality = 'dose'")
-    locf = fold_scores(t).where((F.col("model") == "locf") & (F.col("seed") == SEED)).select(*KEYS, F.col("r2").alias("locf_r2"))
+    locf = fold_scores(t).where(F.col("model") == "locf").select(*KEYS, F.col("r2").alias("locf_r2"))
     delta = F.avg("full_r2") - F.avg("ablated_r2")
     return rows.join(locf, KEYS).groupBy("task_key").agg(
         rnd(F.avg("full_r2")).alias("r2_with"), rnd(F.avg("ablated_r2")).alias("r2_without"), rnd(delta).alias("delta"), rnd(F.avg("locf_r2")).alias("locf_r2")

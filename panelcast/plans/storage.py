@@ -113,17 +113,25 @@ def metadata_dump(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path).select("n_nationkey", "n_name", "n_regionkey")
 
 
+NAIVE = ["population_mean", "locf"]
+
+
+def naive_store(t: Tables):
+    from panelcast.plans.modelling import store
+
+    return store(t, tuple(NAIVE))
+
+
 @query("pred_store", f"WITH {SQL_PRED} SELECT task_key, model, seed, fold, count(*) AS n FROM pred GROUP BY ALL")
 def pred_store(t: Tables) -> DataFrame:
-    path = _folder(t, "predictions")
-    rows = Panel(t).naive_predictions
-    rows.write.partitionBy("task_key").mode("append").parquet(path)
-    return t.spark.read.parquet(path).groupBy("task_key", "model", "seed", "fold").agg(F.count(F.lit(1)).alias("n"))
+    """Rows per key of the stored naive predictions; a second call finds no open key and adds nothing."""
+    place = naive_store(t)
+    return place.predictions(NAIVE).groupBy("task_key", "model", "seed", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("pred_scan", f"WITH {SQL_PRED} SELECT task_key, model, count(*) AS n, round(avg(y - yhat), 3) + 0.0 AS bias FROM pred WHERE yhat IS NOT NULL GROUP BY ALL HAVING count(*) >= 20")
 def pred_scan(t: Tables) -> DataFrame:
-    rows = Panel(t).naive_predictions.where("yhat is not null")
+    rows = naive_store(t).predictions(NAIVE).where("yhat is not null")
     agg = rows.groupBy("task_key", "model").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg(F.col("y") - F.col("yhat")), 3).alias("bias"))
     return agg.where("n >= 20")
 

@@ -32,6 +32,11 @@ def stage_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def store_folder(spark: SparkSession, source: str) -> str:
+    """A folder for a store that belongs to a versioned input; runs of other applications find it again."""
+    return f"{stage_folder(spark)}/store-{hashlib.md5(source.encode()).hexdigest()}"
+
+
 def input_version(spark: SparkSession, folder: str) -> str:
     """Digest of names, sizes and times of the Parquet files below a folder; no file is opened."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder)
