@@ -33,6 +33,8 @@ STRETCH = 32
 #: Bytes of words whose lattices are held at once.
 LATTICE_BYTES = 1 << 18
 FLOOR = 1e-8
+#: Bytes of text scored at once.
+BATCH_BYTES = 1 << 22
 
 
 def public_pieces(path: str) -> list[bytes]:
@@ -249,18 +251,33 @@ def train(
     return LanguageModel(languages, np.log(prior / prior.sum()), probs, lattice)
 
 
-def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``lang_pred`` and ``score``, the posterior probability of that language."""
+def by_bytes(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts have about BATCH_BYTES together, one row at least."""
+    offsets = text_buffers(batch.column(column))[1]
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BATCH_BYTES, side="right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
+    """``id_col``, ``lang_pred`` and ``score``, the posterior probability of that language.
+
+    With ``keep``, these columns of ``docs`` stand in place of the id, so a filter by language needs no join.
+    """
     state = docs.sparkSession.sparkContext.broadcast(model)
+    names = list(keep) if keep is not None else [id_col]
+    texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("_text"), *[F.col(f"`{c}`") for c in names])
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = state.value
-        for batch in batches:
+        for batch in (part for whole in batches if whole.num_rows for part in by_bytes(whole, 0)):
             rows = batch.num_rows
-            lettered = np.array([any(map(str.isalpha, t or "")) for t in batch.column(1).to_pylist()], bool)
+            lettered = np.array([any(map(str.isalpha, t.as_py() or "")) for t in batch.column(0)], bool)
             lang, score = np.full(rows, "und", object), np.zeros(rows)
-            if model.languages and rows:
-                words, number, row = batch_words(batch.column(1))
+            if model.languages:
+                words, number, row = batch_words(batch.column(0))
                 total = np.tile(model.prior, (rows, 1))
                 if words:
                     each = word_likelihoods(words, model.lattice, model.probs)
@@ -270,10 +287,10 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
                 best = total.argmax(axis=1)
                 lang[lettered] = np.array(model.languages, object)[best[lettered]]
                 score[lettered] = (total.max(axis=1) / total.sum(axis=1))[lettered]
-            yield pa.record_batch([batch.column(0), pa.array(lang, pa.string()), pa.array(score)], names=[id_col, "lang_pred", "score"])
+            yield pa.record_batch([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(predicted, f"`{id_col}` {kind}, lang_pred string, score double")
+    shape = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names]
+    return texts.mapInArrow(predicted, ", ".join([*shape, "lang_pred string", "score double"]))
 
 
 def is_held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2):

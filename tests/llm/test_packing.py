@@ -7,7 +7,7 @@ import public_tokenizers as vocabularies
 import pytest
 from tokenizers import Tokenizer
 
-from panelcast.llm.packing import configurations, encoder, pack, plan, tokenise
+from panelcast.llm.packing import configurations, encoded, encoder, pack, plan, tokenise
 
 PATH = vocabularies.path("byte_bpe_50k.json")
 
@@ -88,3 +88,13 @@ def test_pack_edge_rows(spark):
             end += length
         assert end <= 2048
     assert pack(tokenise(df.limit(0), PATH, vocabularies.PATTERN)).count() == 0
+
+
+def test_very_long_runs_of_blanks():
+    import public_tokenizers as vocabularies
+    import tokenizers
+
+    path = vocabularies.path("byte_bpe_50k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    for text in (" " * 3_000_000, "start" + "\n" * 1_000_000 + "end <|endoftext|>" + " " * 1_000_000 + "x"):
+        assert encoded(text, path, vocabularies.PATTERN) == library.encode(text, add_special_tokens=False).ids
