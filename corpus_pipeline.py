@@ -23,17 +23,17 @@ def _documents(docs: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents without a letter go, and those whose best language has under half of the probability.
 
-    The model learns from the labelled rows of the stage's own input.
+    The model learns from the labelled rows of the stage's own input. Each row is judged by its own text,
+    in one pass, whatever its id; rows with a null id are judged alike.
     """
     import public_tokenizers as vocabularies
 
     pieces = langid.public_pieces(vocabularies.path("piece_bpe_32k.model"))
     model = langid.train(docs, pieces)
-    found = langid.predict(docs, model)
     if not model.languages:  # nothing to tell languages apart by: only texts without a letter go
         return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
-    kept = found.where("lang_pred <> 'und' and score >= 0.5").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    found = langid.predict(docs.select(*COLUMNS), model, keep=COLUMNS)
+    return found.where("lang_pred <> 'und' and score >= 0.5").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -43,10 +43,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest id."""
+    """One document of each group of near-duplicates stays, the one with the smallest id; rows with a null id stay."""
     found = minhash.near_duplicates(docs)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
