@@ -5,14 +5,20 @@ Random draws are md5 streams of (seed, repetition, row), so any engine reproduce
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from panelcast import spec
 from panelcast.operators.metrics import TINY, ratio
-from panelcast.operators.order_stats import number_in_order
+from panelcast.operators.order_stats import has_hot_key, number_in_order
 from panelcast.sources.stage import write_stage
 
 SLACK = 1e-12  # ties between a permuted and the observed mean survive float summation order
@@ -88,51 +94,205 @@ def paired_tests(
     return obs.join(p, keys).join(ci, keys)
 
 
-def bootstrap_rows(rows: DataFrame, keys: Sequence[str], ident: str, n_boot: int, seed: int = spec.TEST_SEED) -> DataFrame:
-    """Row-level resamples: every key drawn n_boot times with replacement, as (keys, boot, columns).
+def draw_word(boot: Column, j: Column, seed: int) -> Column:
+    """The number behind draw ``j`` of a repetition; one md5 holds the words of four draws in a row."""
+    word = F.md5(F.concat_ws("|", F.lit(seed), boot, F.floor(j / 4).cast("bigint")))
+    return F.conv(word.substr((j % 4 * 8 + 1).cast("int"), F.lit(8)), 16, 10).cast("bigint")
 
-    Positions inside a key are numbered by hash in bounded buckets; the draws follow
-    from the rows themselves, so no key is gathered in one task.
+
+@lru_cache(maxsize=4)
+def _words(seed: int, first: int, last: int, n: int) -> np.ndarray:
+    """:func:`draw_word` of repetitions ``first`` to ``last`` - 1 for draws below a multiple of four from ``n`` on."""
+    blocks = -(-n // 4)
+    raw = b"".join(hashlib.md5(f"{seed}|{boot}|{j}".encode()).digest() for boot in range(first, last) for j in range(blocks))
+    return np.frombuffer(raw, ">u4").astype(np.uint32).reshape(last - first, 4 * blocks)
+
+
+def _draw_counts(n: int, n_boot: int, seed: int) -> Iterator[np.ndarray]:
+    """Blocks of (repetition, position) matrices: how often each of ``n`` positions is drawn.
+
+    Words are made for sizes rounded up, so keys of similar size share them inside a worker.
     """
-    keys = list(keys)
+    size = -(-n // 1024) * 1024
+    step = max(1, (1 << 23) // size)
+    part = max(1, (1 << 20) // n)
+    for first in range(1, n_boot + 1, step):
+        words = _words(seed, first, min(first + step, n_boot + 1), size)
+        for i in range(0, len(words), part):
+            at = words[i : i + part, :n] % np.uint32(n)
+            flat = at + np.arange(len(at), dtype=np.int64)[:, None] * n
+            yield np.bincount(flat.ravel(), minlength=len(at) * n).reshape(len(at), n).astype(np.float64)
+
+
+def _ties(weights: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Column sums of ``weights`` per distinct value in ascending order, and each column's place among those."""
+    _, place = np.unique(values, return_inverse=True)
+    order = np.argsort(place, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(place[order]) > 0])
+    return np.add.reduceat(weights[:, order], starts, axis=1), place
+
+
+def _correlation(w: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weighted covariance and variances of each row of ``w``."""
+    n = w.sum(axis=1)
+    a, b = a - ((w * a).sum(axis=1) / n)[:, None], b - ((w * b).sum(axis=1) / n)[:, None]
+    return (w * a * b).sum(axis=1) / n, (w * a * a).sum(axis=1) / n, (w * b * b).sum(axis=1) / n
+
+
+def score_moments(w: np.ndarray, y: np.ndarray, yhat: np.ndarray) -> dict[str, np.ndarray]:
+    """R2, MAE, RMSE and Pearson of each row of draw counts, with the rules of :func:`metrics.regression_metrics`."""
+    n, err = w.sum(axis=1), y - yhat
+    sse, mae = w @ (err * err), w @ np.abs(err) / n
+    cov, vy, vp = _correlation(w, y[None], yhat[None])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r2 = np.where(vy == 0, np.where(sse == 0, 1.0, 0.0), 1 - sse / (n * vy))
+        flat = (np.sqrt(vy) < TINY) | (np.sqrt(vp) < TINY)
+        return {"r2": r2, "mae": mae, "rmse": np.sqrt(sse / n), "pearson": np.where(flat, 0.0, cov / np.sqrt(vy * vp))}
+
+
+def score_ranks(w: np.ndarray, y: np.ndarray, yhat: np.ndarray) -> dict[str, np.ndarray]:
+    """Spearman of each row of draw counts: average ranks from running counts over the distinct values."""
+    ranks = []
+    for values in (y, yhat):
+        tied, place = _ties(w, values)
+        ranks.append((np.cumsum(tied, axis=1) - tied / 2)[:, place])
+    cov, vx, vp = _correlation(w, *ranks)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return {"spearman": np.where((vx < TINY) | (vp < TINY), 0.0, cov / np.sqrt(vx * vp))}
+
+
+def score_classes(w: np.ndarray, y: np.ndarray, prob: np.ndarray) -> dict[str, np.ndarray]:
+    """AUROC and average precision of each row of draw counts; NaN where a resample has one class only."""
+    pos, _ = _ties(w * y, prob)
+    neg, _ = _ties(w * (1 - y), prob)
+    p, m = pos.sum(axis=1), neg.sum(axis=1)
+    area = (pos * (np.cumsum(neg, axis=1) - neg / 2)).sum(axis=1)
+    hit, seen = (np.cumsum(x[:, ::-1], axis=1)[:, ::-1] for x in (pos, pos + neg))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        steps = np.where(seen > 0, pos * hit / seen, 0.0).sum(axis=1)
+        one = (p == 0) | (m == 0)
+        return {"auroc": np.where(one, np.nan, area / (p * m)), "auprc": np.where(one, np.nan, steps / p)}
+
+
+#: Rows of a key that one task resamples with draw counts; larger keys are drawn row by row.
+TASK_ROWS = 200_000
+
+Scores = Callable[[np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]]
+
+
+def numbered(rows: DataFrame, keys: Sequence[str], ident: str, seed: int) -> DataFrame:
+    """Rows with ``_pos``, the 0-based place by hash inside the key, and ``_n``, the size of the key."""
     hashed = rows.withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), F.col(ident))))
-    placed = number_in_order(hashed, keys, "_h", ident, "_pos").drop("_h")
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    boots = F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("boot")
-    drawn = placed.select(*keys, "_pos").join(sizes, keys).select(*keys, "_pos", "_n", boots)
-    index = draw(F.col("_n"), F.lit(seed), F.col("boot"), F.col("_pos"))
-    drawn = drawn.select(*keys, "boot", index.alias("_pos"))
-    return drawn.join(placed, [*keys, "_pos"]).drop("_pos")
+    placed = number_in_order(hashed, list(keys), "_h", ident, "_pos").drop("_h")
+    return placed.join(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), list(keys))
+
 
+def bootstrap_rows(placed: DataFrame, keys: Sequence[str], n_boot: int, seed: int = spec.TEST_SEED) -> DataFrame:
+    """Every key of :func:`numbered` rows drawn n_boot times with replacement, as (keys, boot, columns).
 
-def bootstrap_summary(points: DataFrame, boots: DataFrame, keys: Sequence[str], metrics: Sequence[str], point_from_boots: bool = False) -> DataFrame:
-    """(keys, metric, point, ci_lo, ci_hi, se) from per-boot scores; null resamples are skipped."""
+    The draws follow from the rows themselves, so no key is gathered in one task.
+    """
     keys = list(keys)
-    long = boots.unpivot([*keys, "boot"], list(metrics), "metric", "value").where("value is not null")
+    boots = F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("boot")
+    drawn = placed.select(*keys, "_pos", "_n", boots)
+    drawn = drawn.select(*keys, "boot", (draw_word(F.col("boot"), F.col("_pos"), seed) % F.col("_n")).alias("_pos"))
+    return drawn.join(placed.drop("_n"), [*keys, "_pos"]).drop("_pos")
+
+
+def bootstrap_scores(
+    rows: DataFrame,
+    keys: Sequence[str],
+    ident: str,
+    columns: Sequence[str],
+    score: Scores,
+    spread: Callable[[DataFrame, Sequence[str]], DataFrame],
+    names: Sequence[str],
+    n_boot: int = spec.N_BOOTSTRAP,
+    seed: int = spec.TEST_SEED,
+    min_rows: int = 10,
+    task_rows: int = TASK_ROWS,
+) -> DataFrame:
+    """(keys, metric, point, mean, ci_lo, ci_hi, se) of ``names`` over row-level resamples with replacement.
+
+    A key of up to ``task_rows`` rows moves once: a task counts how often each row is drawn and ``score`` gives
+    the metrics of all resamples from those counts. Larger keys are drawn as rows, and ``spread(rows, keys)`` scores
+    them in Spark; both ways make the same draws. ``point`` is the score of the rows themselves. Rows with a null in
+    ``columns`` are left out, undefined resamples are skipped, and keys under ``min_rows`` rows have nulls.
+    """
+    keys, (first, second) = list(keys), columns
+    rows = rows.where(F.col(first).isNotNull() & F.col(second).isNotNull())
+    rows = rows.select(*keys, ident, F.col(first).cast("double").alias(first), F.col(second).cast("double").alias(second))
+    placed = numbered(rows, keys, ident, seed)
+    stats = ["point", "mean", "ci_lo", "ci_hi", "se"]
+    schema = StructType([*[rows.schema[k] for k in keys], StructField("metric", StringType()), *[StructField(s, DoubleType()) for s in stats]])
+    arrow = to_arrow_schema(schema)
+
+    def resampled(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_pos")
+        a, b = (table.column(c).to_numpy() for c in (first, second))
+        out = {m: [None] * len(stats) for m in names}
+        if len(a) >= min_rows:
+            point = score(np.ones((1, len(a))), a, b)
+            parts = [score(w, a, b) for w in _draw_counts(len(a), n_boot, seed)]
+            for m in names:
+                drawn = np.concatenate([p[m] for p in parts])
+                drawn = drawn[~np.isnan(drawn)]
+                own = None if np.isnan(point[m][0]) else float(point[m][0])
+                out[m] = [own, *([None] * 4 if not len(drawn) else [float(drawn.mean()), *map(float, np.quantile(drawn, [0.025, 0.975])), float(drawn.std())])]
+        key = [table.column(k)[0].as_py() for k in keys]
+        return pa.Table.from_pylist([dict(zip(schema.names, [*key, m, *out[m]], strict=True)) for m in names], schema=arrow)
+
+    small = placed.where(F.col("_n") <= task_rows).drop("_n", ident)
+    # Much work on few bytes: as many tasks as a shuffle has, whatever the size.
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    done = small.repartition(width, *keys).groupBy(*keys).applyInArrow(resampled, schema)
+    if not has_hot_key(rows, keys, task_rows):
+        return done
+    large = placed.where(F.col("_n") > task_rows)
+    drawn = write_stage(bootstrap_rows(large, keys, n_boot, seed), "draws")
+    long = spread(drawn, [*keys, "boot"]).unpivot([*keys, "boot"], list(names), "metric", "value").where("value is not null")
     agg = long.groupBy(*keys, "metric").agg(
-        F.avg("value").alias("_mean"), F.percentile("value", F.lit(0.025)).alias("ci_lo"),
+        F.avg("value").alias("mean"), F.percentile("value", F.lit(0.025)).alias("ci_lo"),
         F.percentile("value", F.lit(0.975)).alias("ci_hi"), F.stddev_pop("value").alias("se"),
     )
-    if point_from_boots:
-        return agg.withColumnRenamed("_mean", "point")
-    base = points.unpivot(keys, list(metrics), "metric", "point")
-    return agg.drop("_mean").join(base, [*keys, "metric"])
+    points = spread(large, keys).unpivot(keys, list(names), "metric", "point")
+    return done.unionByName(points.join(agg, [*keys, "metric"], "left").select(*schema.names))
+
 
+def row_signs(idents: Sequence[str], n_perm: int, seed: int) -> np.ndarray:
+    """(row, permutation) bits; 1 swaps the row. One md5 of (seed, block, row) holds 128 permutations, highest bit first."""
+    blocks = range(-(-n_perm // 128))
+    raw = b"".join(hashlib.md5(f"{seed}|{block}|{i}".encode()).digest() for i in idents for block in blocks)
+    return np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(idents), -1), axis=1)[:, :n_perm]
 
-def paired_prediction_test(pred: DataFrame, keys: Sequence[str], ident: str, n_perm: int, seed: int = spec.TEST_SEED) -> DataFrame:
+
+def paired_prediction_test(
+    pred: DataFrame, keys: Sequence[str], ident: str, n_perm: int = spec.N_PERMUTATIONS, seed: int = spec.TEST_SEED, task_rows: int = TASK_ROWS
+) -> DataFrame:
     """Difference in R2 of predictions a and b under row-wise swaps.
 
-    R2_a - R2_b is (SSE_b - SSE_a) / SST, so a permutation only flips signs of per-row error gaps.
+    R2_a - R2_b is (SSE_b - SSE_a) / SST, so a permutation only flips signs of per-row error gaps. Rows are dealt
+    to groups of about ``task_rows`` of a key; a group gives one array of sums for all permutations, and the arrays of a
+    key are added up. Rows with a null in ``y``, ``a`` or ``b`` are left out.
     """
     keys = list(keys)
     gap = F.pow(F.col("y") - F.col("b"), 2) - F.pow(F.col("y") - F.col("a"), 2)
-    rows = pred.select(*keys, ident, "y", gap.alias("g"))
+    rows = pred.select(*keys, F.col(ident).cast("string").alias("_ident"), "y", gap.alias("g")).where("g is not null")
     obs = rows.groupBy(*keys).agg(F.sum("g").alias("_g"), (F.var_pop("y") * F.count("y")).alias("_sst"), F.count("y").alias("n"))
-    perms = F.explode(F.sequence(F.lit(1), F.lit(n_perm))).alias("perm")
-    flips = rows.select(*keys, ident, "g", perms)
-    s = F.when(coin(F.lit(seed), F.col("perm"), F.col(ident)), -1.0).otherwise(1.0)
-    sums = flips.groupBy(*keys, "perm").agg(F.sum(F.col("g") * s).alias("m"))
-    both = sums.join(obs, keys)
+    dealt = rows.join(obs.select(*keys, F.ceil(F.col("n") / task_rows).alias("_groups")), keys)
+    dealt = dealt.select(*keys, F.expr("pmod(xxhash64(_ident), _groups)").alias("_group"), "_ident", "g")
+    schema = StructType([*[pred.schema[k] for k in keys], StructField("sums", ArrayType(DoubleType()))])
+    arrow = to_arrow_schema(schema)
+
+    def summed(table: pa.Table) -> pa.Table:
+        sums, names, g = np.zeros(n_perm), table.column("_ident").to_pylist(), table.column("g").to_numpy()
+        for i in range(0, len(g), 512):
+            sums += g[i : i + 512].sum() - 2 * (g[i : i + 512] @ row_signs(names[i : i + 512], n_perm, seed).astype(np.float64))
+        key = {k: table.column(k)[0].as_py() for k in keys}
+        return pa.Table.from_pylist([{**key, "sums": sums.tolist()}], schema=arrow)
+
+    sums = dealt.groupBy(*keys, "_group").applyInArrow(summed, schema).select(*keys, F.posexplode("sums").alias("perm", "m"))
+    both = sums.groupBy(*keys, "perm").agg(F.sum("m").alias("m")).join(obs, keys)
     extreme = F.count_if(F.abs("m") >= F.abs("_g") * (1 - SLACK))
     return both.groupBy(*keys).agg(
         ratio(F.max("_g"), F.max("_sst")).alias("observed_diff"), ((extreme + 1) / (n_perm + 1)).alias("p_value"), F.max("n").alias("n")
@@ -142,7 +302,3 @@ def paired_prediction_test(pred: DataFrame, keys: Sequence[str], ident: str, n_p
 def stars(p: Column) -> Column:
     return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("")
 
-
-def write_draws(drawn: DataFrame) -> DataFrame:
-    """Store resampled rows once; every score of the resamples scans them several times."""
-    return write_stage(drawn, "draws")

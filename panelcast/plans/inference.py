@@ -11,7 +11,7 @@ from panelcast.operators import metrics, resample
 from panelcast.operators.metrics import ratio
 from panelcast.operators.order_stats import average_ranks
 from panelcast.plans.evaluation import SQL_CLS, SQL_MAJ_SCORES, item_scores, majority_scores, sql_ranking
-from panelcast.plans.panel import SQL_PRED, SQL_SCORES, Panel, fold_scores, sql_regression, with_task
+from panelcast.plans.panel import SQL_PRED, SQL_SCORES, Panel, fold_scores, with_task
 from panelcast.plans.registry import query, rnd
 from panelcast.plans.relational import paired_folds
 from panelcast.sources.stage import staged
@@ -195,64 +195,81 @@ def summary_by_test_type(t: Tables) -> DataFrame:
 
 # --- row-level resampling ---------------------------------------------------------
 
-N_ROW_BOOT = 20
-_BOOT_DIGITS = {"r2": 5, "spearman": 5, "pearson": 5, "mae": 2, "rmse": 2}
+_FINE = "CASE WHEN metric IN ('mae', 'rmse') THEN 2 ELSE 5 END"
+#: Place of a row in its key and the word of a draw, as in ``resample.numbered`` and ``resample.draw_word``.
+_SQL_POS = "row_number() OVER (PARTITION BY {keys} ORDER BY md5(concat('42|', {ident})), {ident}) - 1 AS pos, count(*) OVER (PARTITION BY {keys}) AS n"
+_SQL_WORD = "CAST('0x' || substr(md5(concat('42|', boot, '|', j // 4)), j % 4 * 8 + 1, 8) AS BIGINT)"
 
 
-def sql_draws(src: str, keys: str, ident: str, cols: str, out: str, n_boot: int) -> str:
-    on = " AND ".join(f"d.{k.strip()} = p.{k.strip()}" for k in keys.split(","))
-    sel = ", ".join(f"d.{k.strip()}" for k in keys.split(","))
-    return f"""{out}_p AS (SELECT {keys}, {cols}, row_number() OVER (PARTITION BY {keys} ORDER BY md5(concat('42|', {ident})), {ident}) - 1 AS pos, count(*) OVER (PARTITION BY {keys}) AS n FROM {src}),
-{out} AS (SELECT {sel}, d.boot, {", ".join("p." + c.strip() for c in cols.split(","))} FROM
-  (SELECT {keys}, boot, CAST('0x' || substr(md5(concat('42|', boot, '|', pos)), 1, 8) AS BIGINT) % n AS pos FROM {out}_p, (SELECT unnest(range(1, {n_boot + 1})) AS boot)) d
-  JOIN {out}_p p ON {on} AND d.pos = p.pos)"""
-
-
-@query("bootstrap_regression_ci", f"""WITH {SQL_PRED}, src AS (SELECT task_key, seed, entity_id, y, yhat FROM pred WHERE model = 'locf'),
-  {sql_draws('src', 'task_key, seed', 'entity_id', 'y, yhat', 'bs', N_ROW_BOOT)}, {sql_regression('bs', 'task_key, seed, boot', 'bm')}, {sql_regression('src', 'task_key, seed', 'pt')},
-  lg AS (UNPIVOT (SELECT task_key, seed, boot, r2, spearman, mae, rmse, pearson FROM bm) ON r2, spearman, mae, rmse, pearson INTO NAME metric VALUE v),
-  pl AS (UNPIVOT (SELECT task_key, seed, r2, spearman, mae, rmse, pearson FROM pt) ON r2, spearman, mae, rmse, pearson INTO NAME metric VALUE point)
-SELECT task_key, seed, metric, round(max(point), CASE WHEN metric IN ('mae', 'rmse') THEN 2 ELSE 5 END) + 0.0 AS point, round(quantile_cont(v, 0.025), CASE WHEN metric IN ('mae', 'rmse') THEN 2 ELSE 5 END) + 0.0 AS ci_lo,
-  round(quantile_cont(v, 0.975), CASE WHEN metric IN ('mae', 'rmse') THEN 2 ELSE 5 END) + 0.0 AS ci_hi, round(stddev_pop(v), CASE WHEN metric IN ('mae', 'rmse') THEN 2 ELSE 5 END) + 0.0 AS se
-FROM lg JOIN pl USING (task_key, seed, metric) GROUP BY task_key, seed, metric""")
-def bootstrap_regression_ci(t: Tables) -> DataFrame:
+def regression_bootstrap(t: Tables, score: resample.Scores, names: list[str]) -> DataFrame:
     keys = ["task_key", "seed"]
-    names = list(_BOOT_DIGITS)
     rows = Panel(t).naive_predictions.where("model = 'locf'").select(*keys, "entity_id", "y", "yhat")
-    drawn = resample.write_draws(resample.bootstrap_rows(rows, keys, "entity_id", N_ROW_BOOT))
-    boots = metrics.regression_metrics(drawn, [*keys, "boot"])
-    out = resample.bootstrap_summary(metrics.regression_metrics(rows, keys), boots, keys, names)
+    return resample.bootstrap_scores(rows, keys, "entity_id", ["y", "yhat"], score, metrics.regression_metrics, names)
+
+
+# Sums over a resample are dot products of its draw counts with the rows' terms, both as lists by place; values are centred first.
+@query("bootstrap_regression_ci", f"""WITH {SQL_PRED}, src AS (SELECT task_key, seed, entity_id, y - avg(y) OVER k AS y, yhat - avg(y) OVER k AS p FROM pred WHERE model = 'locf' WINDOW k AS (PARTITION BY task_key, seed)),
+  r AS (SELECT *, {_SQL_POS.format(keys='task_key, seed', ident='entity_id')} FROM src),
+  k AS (SELECT task_key, seed, n, {", ".join(f"list(CAST({e} AS DOUBLE) ORDER BY pos) AS {c}" for c, e in (("ae", "abs(y - p)"), ("ee", "(y - p) * (y - p)"), ("ly", "y"), ("lp", "p"), ("yy", "y * y"), ("pp", "p * p"), ("yp", "y * p")))} FROM r GROUP BY ALL),
+  z AS (SELECT n, unnest(range(n)) AS j FROM (SELECT DISTINCT n FROM r)), b AS (SELECT unnest(range(1, {spec.N_BOOTSTRAP + 1})) AS boot),
+  x AS (SELECT boot, j, {_SQL_WORD} AS word FROM b, (SELECT DISTINCT j FROM z)),
+  c AS (SELECT n, boot, word % n AS pos, 1 AS c FROM z JOIN x USING (j) UNION ALL SELECT n, boot, j, 0 FROM z, b),
+  w AS (SELECT n, boot, list(CAST(c AS DOUBLE) ORDER BY pos) AS w FROM (SELECT n, boot, pos, sum(c) AS c FROM c GROUP BY ALL) GROUP BY ALL),
+  o AS (SELECT n, 0 AS boot, list(CAST(1 AS DOUBLE)) AS w FROM z GROUP BY ALL),
+  s AS (SELECT task_key, seed, n, boot, {", ".join(f"list_dot_product(w, {c}) AS {c}" for c in ("ae", "ee", "ly", "lp", "yy", "pp", "yp"))} FROM k JOIN (SELECT * FROM w UNION ALL SELECT * FROM o) USING (n)),
+  v AS (SELECT *, yy / n - ly * ly / n / n AS vy, pp / n - lp * lp / n / n AS vp, yp / n - ly * lp / n / n AS cv FROM s),
+  m AS (SELECT task_key, seed, boot, CASE WHEN vy = 0 THEN CASE WHEN ee = 0 THEN 1.0 ELSE 0.0 END ELSE 1 - ee / (n * vy) END AS r2, ae / n AS mae, sqrt(ee / n) AS rmse,
+    CASE WHEN sqrt(vy) < 1e-10 OR sqrt(vp) < 1e-10 THEN 0.0 ELSE cv / sqrt(vy * vp) END AS pearson FROM v WHERE n >= 10),
+  lg AS (UNPIVOT m ON r2, mae, rmse, pearson INTO NAME metric VALUE v)
+SELECT task_key, seed, metric, round(max(v) FILTER (boot = 0), {_FINE}) + 0.0 AS point, round(quantile_cont(v, 0.025) FILTER (boot > 0), {_FINE}) + 0.0 AS ci_lo,
+  round(quantile_cont(v, 0.975) FILTER (boot > 0), {_FINE}) + 0.0 AS ci_hi, round(stddev_pop(v) FILTER (boot > 0), {_FINE}) + 0.0 AS se FROM lg GROUP BY task_key, seed, metric""")
+def bootstrap_regression_ci(t: Tables) -> DataFrame:
+    out = regression_bootstrap(t, resample.score_moments, ["r2", "mae", "rmse", "pearson"])
     fine = F.col("metric").isin("mae", "rmse")
-    return out.select(*keys, "metric", *[F.when(fine, rnd(c, 2)).otherwise(rnd(c, 5)).alias(c) for c in ("point", "ci_lo", "ci_hi", "se")])
+    return out.select("task_key", "seed", "metric", *[F.when(fine, rnd(c, 2)).otherwise(rnd(c, 5)).alias(c) for c in ("point", "ci_lo", "ci_hi", "se")])
+
+
+@query("bootstrap_rank_ci")
+def bootstrap_rank_ci(t: Tables) -> DataFrame:
+    """Spearman's interval; ranking 2,000 resamples of every task is too slow in SQL, so a test compares with brute force."""
+    out = regression_bootstrap(t, resample.score_ranks, ["spearman"])
+    return out.select("task_key", "seed", "metric", *[rnd(c, 5).alias(c) for c in ("point", "ci_lo", "ci_hi", "se")])
 
 
 @query("bootstrap_classification_ci", f"""WITH {SQL_CLS.replace("SELECT l_linenumber AS model", "SELECT l_linenumber AS model, concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_quantity) AS row_id")},
-  {sql_draws('cls', 'model', 'row_id', 'y, prob', 'bs', N_ROW_BOOT)}, {sql_ranking('bs', 'model, boot', 'bm')},
-  lg AS (UNPIVOT (SELECT model, boot, auroc, auprc FROM bm) ON auroc, auprc INTO NAME metric VALUE v)
+  r AS (SELECT model, y, prob, {_SQL_POS.format(keys='model', ident='row_id')} FROM cls),
+  x AS (SELECT boot, j, {_SQL_WORD} AS word FROM (SELECT unnest(range(1, {spec.N_BOOTSTRAP + 1})) AS boot), (SELECT unnest(range((SELECT max(n) FROM r))) AS j)),
+  bs AS (SELECT model, boot, y, prob FROM (SELECT model, boot, word % n AS pos FROM (SELECT DISTINCT model, n FROM r) JOIN x ON j < n) JOIN r USING (model, pos)), {sql_ranking('bs', 'model, boot', 'bm')},
+  lg AS (UNPIVOT (SELECT model, boot, auroc, auprc FROM bm WHERE auroc IS NOT NULL) ON auroc, auprc INTO NAME metric VALUE v)
 SELECT model, metric, round(avg(v), 5) AS point, round(quantile_cont(v, 0.025), 5) AS ci_lo, round(quantile_cont(v, 0.975), 5) AS ci_hi, round(stddev_pop(v), 5) AS se FROM lg GROUP BY model, metric""")
 def bootstrap_classification_ci(t: Tables) -> DataFrame:
-    rows = item_scores(t).select("model", "row_id", "y", "prob")
-    drawn = resample.write_draws(resample.bootstrap_rows(rows, ["model"], "row_id", N_ROW_BOOT))
-    keys = ["model", "boot"]
-    boots = metrics.auroc(drawn, keys).join(metrics.auprc(drawn, keys), keys)
-    out = resample.bootstrap_summary(None, boots, ["model"], ["auroc", "auprc"], point_from_boots=True)
-    return out.select("model", "metric", *[rnd(c, 5).alias(c) for c in ("point", "ci_lo", "ci_hi", "se")])
+    """The point is the mean over resamples."""
 
+    def spread(rows: DataFrame, keys: list[str]) -> DataFrame:
+        both = metrics.auroc(rows, keys).join(metrics.auprc(rows, keys), keys)
+        return both.withColumn("auprc", F.when(F.col("auroc").isNotNull(), F.col("auprc")))
 
-N_ROW_PERM = 100
+    out = resample.bootstrap_scores(item_scores(t), ["model"], "row_id", ["y", "prob"], resample.score_classes, spread, ["auroc", "auprc"])
+    return out.select("model", "metric", rnd("mean", 5).alias("point"), *[rnd(c, 5).alias(c) for c in ("ci_lo", "ci_hi", "se")])
 
 
+# As above: a permutation's sum is the dot product of its signs with the error gaps, both as lists by entity.
 @query("paired_permutation_predictions", f"""WITH {SQL_PRED}, w AS (SELECT task_key, seed, entity_id, max(y) AS y, max(yhat) FILTER (model = 'locf') AS a, max(yhat) FILTER (model = 'population_mean') AS b FROM pred GROUP BY ALL),
-  g AS (SELECT task_key, seed, entity_id, y, (y - b) * (y - b) - (y - a) * (y - a) AS g FROM w),
+  g AS (SELECT task_key, seed, entity_id, y, (y - b) * (y - b) - (y - a) * (y - a) AS g FROM w WHERE a IS NOT NULL AND b IS NOT NULL),
   o AS (SELECT task_key, seed, sum(g) AS gs, var_pop(y) * count(y) AS sst, count(*) AS n FROM g GROUP BY ALL),
-  f AS (SELECT task_key, seed, perm, sum(g * CASE WHEN substr(md5(concat('42|', perm, '|', entity_id)), 1, 1) < '8' THEN -1.0 ELSE 1.0 END) AS m FROM g, (SELECT unnest(range(1, {N_ROW_PERM + 1})) AS perm) GROUP BY ALL)
-SELECT task_key, seed, round(max(gs) / max(sst), 6) + 0.0 AS observed_diff, round((count(*) FILTER (abs(m) >= abs(gs) * (1 - 1e-12)) + 1) / {N_ROW_PERM + 1}.0, 6) AS p_value, max(n) AS n
+  e AS (SELECT DISTINCT entity_id FROM g),
+  l AS (SELECT task_key, seed, list(CAST(coalesce(g, 0) AS DOUBLE) ORDER BY entity_id) AS gl FROM (SELECT o.task_key, o.seed, e.entity_id, g.g FROM o CROSS JOIN e LEFT JOIN g USING (task_key, seed, entity_id)) GROUP BY ALL),
+  h AS (SELECT entity_id, block, md5(concat('42|', block, '|', entity_id)) AS h FROM e, (SELECT unnest(range({-(-spec.N_PERMUTATIONS // 128)})) AS block)),
+  p AS (SELECT perm, list(CASE WHEN (CAST('0x' || substr(h, perm % 128 // 4 + 1, 1) AS INT) >> CAST(3 - perm % 4 AS INT)) & 1 = 1 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END ORDER BY entity_id) AS sl
+    FROM (SELECT unnest(range({spec.N_PERMUTATIONS})) AS perm) q JOIN h ON h.block = q.perm // 128 GROUP BY perm),
+  f AS (SELECT task_key, seed, list_dot_product(gl, sl) AS m FROM l, p)
+SELECT task_key, seed, round(max(gs) / max(sst), 6) + 0.0 AS observed_diff, round((count(*) FILTER (abs(m) >= abs(gs) * (1 - 1e-12)) + 1) / {spec.N_PERMUTATIONS + 1}.0, 6) AS p_value, max(n) AS n
 FROM f JOIN o USING (task_key, seed) GROUP BY task_key, seed""")
 def paired_permutation_predictions(t: Tables) -> DataFrame:
     keys = ["task_key", "seed"]
     pick = {m: F.max(F.when(F.col("model") == n, F.col("yhat"))) for m, n in (("a", "locf"), ("b", "population_mean"))}
     wide = Panel(t).naive_predictions.groupBy(*keys, "entity_id").agg(F.max("y").alias("y"), *[c.alias(n) for n, c in pick.items()])
-    out = resample.paired_prediction_test(wide, keys, "entity_id", N_ROW_PERM)
+    out = resample.paired_prediction_test(wide, keys, "entity_id")
     return out.select(*keys, rnd("observed_diff").alias("observed_diff"), rnd("p_value").alias("p_value"), "n")
 
 
