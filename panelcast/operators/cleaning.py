@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from panelcast import spec
-from panelcast.functions.text import canonical_visit, loose_number, state_tag, sum_all, to_number, tokens
+from panelcast.functions.text import canonical_visit, loose_code, loose_number, state_tag, sum_all, to_number, tokens
 from panelcast.sources.tables import first_present
 
 
@@ -109,10 +111,39 @@ def encode_sex_number(df: DataFrame, column: str, out: str) -> DataFrame:
     return df.withColumn(out, F.when(recode, swapped).otherwise(c.cast("double")))
 
 
-def encode_status(df: DataFrame, definition: str, age: str) -> DataFrame:
-    t = F.upper(F.trim(F.col(definition)))
-    flag = F.when(t.contains("PARKINSON"), 1.0).when(t.contains("HEALTHY"), 0.0)
-    return df.withColumn("IS_PD", flag).withColumn(age, loose_number(F.col(age).cast("string")))
+def encode_sex(df: DataFrame, column: str, out: str) -> DataFrame:
+    """The rule follows the column: words and codes of a text column, else the values seen in a numeric one."""
+    if isinstance(df.schema[column].dataType, StringType):
+        return df.withColumn(out, encode_sex_text(F.col(column)))
+    return encode_sex_number(df, column, out)
+
+
+def encode_status(df: DataFrame, definition: str, age: str, cohort: str = "COHORT", drop: Sequence[str] = ("ENROLL_STATUS", "EVENT_ID")) -> DataFrame:
+    """``IS_PD`` from the definition's words, age and cohort as numbers; the definition and ``drop`` go.
+
+    Columns that are not there are passed over; without a definition ``IS_PD`` is null.
+    """
+    t = F.upper(F.trim(F.col(definition))) if definition in df.columns else F.lit(None).cast("string")
+    cols = {"IS_PD": F.when(t.contains("PARKINSON"), 1.0).when(t.contains("HEALTHY"), 0.0)}
+    if cohort in df.columns:
+        cols[cohort] = to_number(F.col(cohort))
+    if age in df.columns:
+        cols[age] = loose_number(F.col(age).cast("string"))
+    return df.withColumns(cols).drop(definition, *drop)
+
+
+def keep_codes(df: DataFrame, keys: Sequence[str], codes: Sequence[str], code: str) -> DataFrame:
+    """Rows whose ``code`` is wanted; without that column the keys and wanted columns; without any of these all of it.
+
+    Codes and names are compared by their letters and digits. ``codes`` is a list of the specification.
+    """
+    wanted = df.sparkSession.createDataFrame([(c,) for c in codes], "code string").select(loose_code(F.col("code")).alias("_code")).distinct()
+    if code in df.columns:
+        rows = df.withColumn("_code", loose_code(F.col(code).cast("string")))
+        return rows.join(F.broadcast(wanted), "_code", "left_semi").drop("_code")
+    plain = {re.sub("[^A-Z0-9]+", "", c.strip().upper()) for c in codes}
+    named = [c for c in df.columns if c not in keys and re.sub("[^A-Z0-9]+", "", c.strip().upper()) in plain]
+    return df.select(*keys, *named) if named else df
 
 
 def one_hot_tokens(df: DataFrame, text: str, names: Mapping[str, Column] | Sequence[str]) -> DataFrame:

@@ -6,11 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from panelcast import spec
-from panelcast.functions.text import simple_visit
+from panelcast.functions.text import loose_number, simple_visit
 from panelcast.operators import cleaning
-from panelcast.operators.order_stats import exact_quantiles
+from panelcast.operators.order_stats import exact_quantiles, join_same
 
 
 def to_long(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
@@ -27,6 +28,35 @@ def pivot_values(df: DataFrame, keys: Sequence[str], feature: str, names: Sequen
     return df.groupBy(*keys).agg(*[F.max(F.when(F.col(feature) == n, F.col(value))).alias(n) for n in names])
 
 
+def observed_names(df: DataFrame, feature: str, most: int = 10_000) -> list[str]:
+    """The distinct features in order, to become columns; more than ``most`` is an error rather than a wider table."""
+    names = [r[0] for r in df.select(feature).where(F.col(feature).isNotNull()).distinct().orderBy(feature).limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} values of {feature} cannot become columns")
+    return names
+
+
+def mixed_dedup(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """One row per key: the median of every column in which any value parses as a number, else the first value by ``order``.
+
+    Parsed values of all columns are counted in one pass, and the plan is built from the counts. Nulls are passed over,
+    null keys group together.
+    """
+    keys = list(keys)
+    columns = [c for c in df.columns if c not in {*keys, order}]
+    kinds = {c: df.schema[c].dataType for c in columns}
+    parsed = {c: F.col(c).cast("double") if isinstance(k, NumericType) else loose_number(F.col(c).cast("string")) for c, k in kinds.items()}
+    seen = df.agg(F.lit(0), *[F.count(v).alias(c) for c, v in parsed.items()]).first()
+    numbers = [c for c in columns if seen[c]]
+    texts = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns if not seen[c]]
+    out = df.groupBy(*keys).agg(*texts) if texts else df.select(*keys).distinct()
+    if numbers:
+        long = df.select(*keys, *[parsed[c].alias(c) for c in numbers]).unpivot(keys, numbers, "measure", "value")
+        medians = pivot_values(median_per(long.where("value is not null"), [*keys, "measure"]), keys, "measure", numbers)
+        out = join_same(out, medians, keys, "left")
+    return out.select(*keys, *columns)
+
+
 def calendar_rows(raw: DataFrame, ident: str, event: str) -> DataFrame:
     """Raw rows with their calendar ``visit``; screening stands for a missing baseline."""
     df = raw.withColumn("visit", simple_visit(F.col(event)))

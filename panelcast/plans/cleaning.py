@@ -269,20 +269,22 @@ def encode_sex(t: Tables) -> DataFrame:
         "o_orderkey", F.when(s == "F", "female").when(s == "O", " m ").otherwise("x").alias("txt"),
         F.when(s == "F", 1).otherwise(2).alias("num"),
     )
-    out = cleaning.encode_sex_number(src, "num", "sex_number")
-    return out.select("o_orderkey", cleaning.encode_sex_text(F.col("txt")).alias("sex_text"), "sex_number")
+    out = cleaning.encode_sex(cleaning.encode_sex(src, "txt", "sex_text"), "num", "sex_number")
+    return out.select("o_orderkey", "sex_text", "sex_number")
 
 
 @query("encode_status", """SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 1.0 WHEN 'FURNITURE' THEN 0.0 END AS IS_PD,
-  c_acctbal AS ENROLL_AGE FROM customer""")
+  c_acctbal AS ENROLL_AGE, CASE WHEN c_mktsegment <> 'MACHINERY' THEN CAST(c_nationkey AS DOUBLE) END AS COHORT FROM customer""")
 def encode_status(t: Tables) -> DataFrame:
     seg = F.col("c_mktsegment")
     src = t.scan("customer").select(
         "c_custkey",
         F.when(seg == "BUILDING", " Parkinson's Disease").when(seg == "FURNITURE", "Healthy Control").otherwise("Prodromal").alias("COHORT_DEFINITION"),
         F.replace(F.col("c_acctbal").cast("string"), F.lit("."), F.lit(",")).alias("ENROLL_AGE"),
+        F.when(seg == "MACHINERY", "unknown").otherwise(F.col("c_nationkey").cast("string")).alias("COHORT"),
+        F.lit("enrolled").alias("ENROLL_STATUS"), F.lit("SC").alias("EVENT_ID"),
     )
-    return cleaning.encode_status(src, "COHORT_DEFINITION", "ENROLL_AGE").drop("COHORT_DEFINITION")
+    return cleaning.encode_status(src, "COHORT_DEFINITION", "ENROLL_AGE")
 
 
 @query("allele_counts", """WITH f AS (SELECT p_partkey, regexp_extract_all(upper(trim(p_brand)), 'E?([234])', 1) AS a FROM part)
@@ -326,10 +328,7 @@ def numeric_columns_only(t: Tables) -> DataFrame:
 
 @query("code_list_filter", "SELECT event_id, event_type FROM events WHERE upper(event_type) IN ('CLICK', 'VIEW', 'PURCHASE')")
 def code_list_filter(t: Tables) -> DataFrame:
-    codes = t.spark.createDataFrame([("Cli-ck",), ("VIEW ",), ("purchase",)], "code string")
-    wanted = F.broadcast(codes.select(text.loose_code(F.col("code")).alias("code")))  # a fixed code list
-    ev = t.scan("events", ["event_id", "event_type"]).withColumn("code", text.loose_code(F.col("event_type")))
-    return ev.join(wanted, "code", "left_semi").drop("code")
+    return cleaning.keep_codes(t.scan("events", ["event_id", "event_type"]), ["event_id"], ["Cli-ck", "VIEW ", "purchase"], "event_type")
 
 
 def assay_rows(t: Tables) -> DataFrame:

@@ -199,22 +199,21 @@ def median_dedup(t: Tables) -> DataFrame:
     return Panel(t).panel.select("entity_id", "visit", "measure", rnd("value", 4).alias("value"))
 
 
-@query("mixed_dedup", f"WITH {SQL_RAW} SELECT entity_id, event_id, round(median(TOTAL), 4) AS TOTAL, min_by(state, order_id) FILTER (state IS NOT NULL) AS state FROM raw_orders GROUP BY entity_id, event_id")
+@query("mixed_dedup", f"""WITH {SQL_RAW} SELECT entity_id, event_id, min_by(state, order_id) FILTER (state IS NOT NULL) AS state,
+  round(median(TOTAL), 4) AS TOTAL, round(median(PRIORITY), 4) AS PRIORITY, round(median(year(o_orderdate)), 4) AS o_orderdate FROM raw_orders GROUP BY entity_id, event_id""")
 def mixed_dedup(t: Tables) -> DataFrame:
-    """Numeric columns by median, text columns by first non-null in order_id order."""
-    keys = ["entity_id", "event_id"]
-    rows = Panel(t).raw_orders
-    med = exact_quantiles(rows, keys, "TOTAL", {"m": 0.5}).select(*keys, rnd("m", 4).alias("TOTAL"))
-    first = rows.groupBy(*keys).agg(F.min_by("state", F.when(F.col("state").isNotNull(), F.col("order_id"))).alias("state"))
-    return first.join(med, keys, "left")
+    """Orders as a wide text extract; a date parses by its first number, the year."""
+    text_columns = {c: F.col(c).cast("string") for c in ("PRIORITY", "o_orderdate")}
+    out = reshape.mixed_dedup(Panel(t).raw_orders.withColumns(text_columns), ["entity_id", "event_id"], "order_id")
+    return out.select("entity_id", "event_id", "state", *[rnd(c, 4).alias(c) for c in ("TOTAL", "PRIORITY", "o_orderdate")])
 
 
-@query("age_dedup", f"WITH {SQL_RAW} SELECT entity_id, event_id, round(avg(PRIORITY + 0.5), 1) AS mean_age, min_by(state, order_id) FILTER (state IS NOT NULL) AS state, count(*) > 1 AS is_dup FROM raw_orders GROUP BY entity_id, event_id")
+@query("age_dedup", f"WITH {SQL_RAW} SELECT entity_id, event_id, round_even(avg(PRIORITY + 0.5), 1) + 0.0 AS mean_age, min_by(state, order_id) FILTER (state IS NOT NULL) AS state, count(*) > 1 AS is_dup FROM raw_orders GROUP BY entity_id, event_id")
 def age_dedup(t: Tables) -> DataFrame:
-    """Mean of parsed age text with one digit; the text is the priority number with a decimal comma."""
+    """Mean of parsed age text with one digit, ties to the even one; the text is the priority number with a decimal comma."""
     age = text.loose_number(F.concat(F.col("PRIORITY").cast("int").cast("string"), F.lit(",5 y")))
     return Panel(t).raw_orders.groupBy("entity_id", "event_id").agg(
-        rnd(F.avg(age), 1).alias("mean_age"),
+        (F.bround(F.avg(age), 1) + F.lit(0.0)).alias("mean_age"),
         F.min_by("state", F.when(F.col("state").isNotNull(), F.col("order_id"))).alias("state"),
         (F.count(F.lit(1)) > 1).alias("is_dup"),
     )
@@ -229,18 +228,20 @@ def weekly_events(t: Tables) -> DataFrame:
 @query("long_to_wide", "SELECT user_id AS entity_id, CAST(floor((day(ts) - 1) / 7) AS INT) AS week, " + ", ".join(
     f"round(median(value) FILTER (event_type = '{e}'), 4) AS {e}" for e in EVENT_TYPES) + " FROM events GROUP BY 1, 2")
 def long_to_wide(t: Tables) -> DataFrame:
+    """One column per event type that occurs."""
     keys = ["entity_id", "week"]
-    med = reshape.median_per(weekly_events(t), [*keys, "feature"])
-    wide = reshape.pivot_values(med, keys, "feature", EVENT_TYPES)
-    return wide.select(*keys, *[rnd(e, 4).alias(e) for e in EVENT_TYPES])
-
-
-def assay_pivot(t: Tables, kind: str, parse) -> DataFrame:
-    rows = baseline_assays(assay_rows(t), kind, ASSAY_TESTS).withColumn("value", parse(F.col("raw")))
-    med = reshape.median_per(rows, ["entity_id", "test"])
-    wide = clean_column_names(reshape.pivot_values(med, ["entity_id"], "test", ASSAY_TESTS))
-    names = [c for c in wide.columns if c != "entity_id"]
-    return wide.select("entity_id", *[rnd(c, 4).alias(c) for c in names])
+    events = weekly_events(t)
+    names = reshape.observed_names(events, "feature")
+    med = reshape.median_per(events, [*keys, "feature"])
+    wide = reshape.pivot_values(med, keys, "feature", names)
+    return wide.select(*keys, *[rnd(e, 4).alias(e) for e in names])
+
+
+@query("code_list_columns", "SELECT user_id AS entity_id, CAST(floor((day(ts) - 1) / 7) AS INT) AS week, " + ", ".join(
+    f"round(median(value) FILTER (event_type = '{e}'), 4) AS {e}" for e in ("click", "purchase", "view")) + " FROM events GROUP BY 1, 2")
+def code_list_columns(t: Tables) -> DataFrame:
+    """The code list on a wide table: wanted columns stay."""
+    return cleaning.keep_codes(long_to_wide(t), ["entity_id", "week"], ["Cli-ck", "VIEW ", "purchase"], "code")
 
 
 @query("assay_pivot_baseline", f"WITH {SQL_ASSAY}, v AS (SELECT entity_id, test, TRY_CAST(raw AS DOUBLE) AS v FROM assay WHERE {SQL_ASSAY_WHERE}) SELECT entity_id, round(median(v) FILTER (test = 'NFL'), 4) AS NFL, round(median(v) FILTER (test = 'CSF Alpha-synuclein'), 4) AS CSF_Alpha_synuclein FROM v WHERE v IS NOT NULL GROUP BY entity_id")
