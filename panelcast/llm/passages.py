@@ -9,9 +9,12 @@ common phrases apart.
 
 Every key links its later documents with the first one that has it (smallest id),
 never all pairs. That holder may have only a part of what later documents share, so
-around every key of two documents or more all stretches of exactly ``min_words``
-words are keys besides, and each links its later documents with its own first
-holder. A linked pair is verified on both texts: equal runs of words are
+once its links are verified a second round follows. A key outside all verified blocks
+of a document links it with the next holder that is open there too. And around every
+shared key the stretches of exactly ``min_words`` words are keys besides, but for those
+inside an equal run with an earlier document: that run has a first holder whose own
+stretches are all there, so each stretch still meets its first holder.
+A linked pair is verified on both texts: equal runs of words are
 extended from the shared shingles and then, on both sides, over gaps of up to GAP
 words to the next equal shingle, and a block counts if it has at least ``min_words``
 words and the Jaccard similarity of its five-word shingles to the other side is 0.8
@@ -20,8 +23,8 @@ label the removals.
 
 A passage of 50 words or more that two documents share exactly always has a common key,
 so each of its stretches is linked and exact repeats are complete for ``min_words`` of
-45 or more. An edited passage is missed if the first holder of each of its keys has
-only a shorter part of it.
+45 or more. An edited passage is missed if the first two open holders of each of its keys
+have only a shorter part of it.
 Words are compared with ASCII letters lowered. Null and empty texts, and texts
 under ``min_words`` words, have no passages. Rows with a null id take no part. Rows
 that share an id are never compared with each other, and each loses what was found
@@ -80,8 +83,8 @@ def band_keys(word: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray,
     return key[fresh], place[fresh], place[np.r_[fresh[1:], True]]
 
 
-def exact_keys(word: np.ndarray, first: np.ndarray, last: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the stretches of ``size`` words around keys that are at ``first`` to ``last``.
+def exact_keys(word: np.ndarray, first: np.ndarray, last: np.ndarray, size: int, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the stretches of ``size`` words around keys that are at ``first`` to ``last``, but for those inside ``runs``.
 
     Of equal ones that begin within ``size`` words of each other, two that cover the others are kept.
     """
@@ -90,7 +93,8 @@ def exact_keys(word: np.ndarray, first: np.ndarray, last: np.ndarray, size: int)
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     begins = np.bincount(np.clip(first + CONTEXT - size, 0, n), minlength=n + 1)
     ends = np.bincount(np.clip(last + 1, 0, n), minlength=n + 1)
-    at = np.flatnonzero(np.cumsum(begins - ends)[:n] > 0)
+    inside = np.bincount(np.clip(runs[:, 0], 0, n), minlength=n + 1) - np.bincount(np.clip(runs[:, 1] - size + 1, 0, n), minlength=n + 1)
+    at = np.flatnonzero((np.cumsum(begins - ends)[:n] > 0) & (np.cumsum(inside)[:n] == 0))
     key = span_hashes(word, at, at + size).view(np.int64)
     order = np.lexsort((at, key))
     key, at = key[order], at[order]
@@ -102,6 +106,11 @@ def exact_keys(word: np.ndarray, first: np.ndarray, last: np.ndarray, size: int)
 
 def shared_blocks(x: np.ndarray, y: np.ndarray, hits: list[tuple[int, int]], min_words: int) -> list[tuple[int, int, int, int]]:
     """Verified blocks (begin and end in x, begin and end in y) around common places of two texts."""
+    return [b for chain in chains(x, y, hits) for b in best_parts(x, y, chain) if b[1] - b[0] >= min_words]
+
+
+def chains(x: np.ndarray, y: np.ndarray, hits: list[tuple[int, int]]) -> list[list[tuple[int, int, int, int]]]:
+    """Equal runs (begin and end in x, begin and end in y) that follow each other over short gaps, around common places of two texts."""
 
     def run_at(i: int, j: int) -> tuple[int, int, int, int]:
         """The equal run that has word i of x and word j of y."""
@@ -138,10 +147,24 @@ def shared_blocks(x: np.ndarray, y: np.ndarray, hits: list[tuple[int, int]], min
                 chain.append(last := more)
         chain.sort()
         seen.update(chain)
-        out += [b for b in best_parts(x, y, chain) if b[1] - b[0] >= min_words]
+        out.append(chain)
     return out
 
 
+def ranges(column: pa.Array):
+    """Reads fields of a column of lists of structs, row by row, as arrays; a null list is empty."""
+    cuts, flat = column.offsets.to_numpy(), column.values
+    fields = {}
+
+    def row(i: int, *names: str) -> list[np.ndarray]:
+        for name in names:
+            if name not in fields:
+                fields[name] = flat.field(name).to_numpy(zero_copy_only=False).astype(np.int64)
+        return [fields[name][cuts[i] : cuts[i + 1]] for name in names]
+
+    return row
+
+
 def reach(u: np.ndarray, v: np.ndarray) -> int:
     """How many words two stretches have in common from their beginning."""
     n, at, size = min(len(u), len(v)), 0, 64
@@ -208,56 +231,77 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
                 yield pa.record_batch([ids, pa.array(keys), pa.array(places, pa.int32()), pa.array(ends, pa.int32())], names=["id", "key", "at", "last_at"])
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Keys of the second round: those outside all verified blocks, and stretches outside all equal runs."""
         for batch in batches:
-            spots = batch.column(2)
-            cuts, flat = spots.offsets.to_numpy(), spots.values
-            first, last = (flat.field(k).to_numpy().astype(np.int64) for k in range(2))
+            spots, blocks, runs = (ranges(batch.column(k)) for k in (2, 3, 4))
             for i, (word, _) in enumerate(text_words(batch.column(1))):
-                own = slice(cuts[i], cuts[i + 1])
-                keys, places = exact_keys(word, first[own], last[own], min_words)
+                at, last, key, head = spots(i, "at", "last_at", "key", "head")
+                keys, places = exact_keys(word, at, last, min_words, np.stack(runs(i, "begin", "end"), 1))
+                begin, end = blocks(i, "begin", "end")
+                # Blocks by begin with the furthest end so far: a context lies inside one if the last that begins by then reaches over it.
+                order = np.argsort(begin, kind="stable")
+                reached = np.r_[0, np.maximum.accumulate(end[order])] if len(end) else np.zeros(1, np.int64)
+                open_ = (head == 0) & (reached[np.searchsorted(begin[order], at, "right")] < at + CONTEXT)
+                part = np.r_[places // min_words, -1 - at[open_]]
+                keys, places = np.r_[keys, key[open_]], np.r_[places, at[open_]]
                 if len(keys):
                     ids = batch.column(0).take(pa.array(np.full(len(keys), i)))
-                    yield pa.record_batch([ids, pa.array(keys), pa.array(places, pa.int32())], names=["id", "key", "at"])
+                    yield pa.record_batch([ids, pa.array(keys), pa.array(places, pa.int32()), pa.array(part, pa.int32())], names=["id", "key", "at", "part"])
 
     def first_holders(keys: DataFrame) -> DataFrame:
         first = keys.groupBy("key").agg(F.min(F.struct("id", "at")).alias("first"), F.max("id").alias("last"))
         return first.where("last > first.id").select("key", F.col("first.id").alias("other"), F.col("first.at").alias("other_at"))
 
-    keys = write_stage(docs.mapInArrow(keyed, f"id {kind}, key bigint, at int, last_at int"), "passage-keys")
-    first = write_stage(first_holders(keys), "passage-first")
-    shared = write_stage(keys.join(first, "key").drop("key"), "passage-shared")
-    spots = shared.groupBy("id").agg(F.collect_set(F.struct("at", "last_at")).alias("spots"))
-    texts = write_stage(docs.join(spots, "id"), "passage-texts")
-    whole = write_stage(texts.mapInArrow(exact, f"id {kind}, key bigint, at int"), "passage-exact")
-    first = write_stage(first_holders(whole), "passage-exact-first")
-    # Stretches of one shift that begin within min_words of each other are part of one run.
-    run = [F.col("at") - F.col("other_at"), F.floor(F.col("at") / min_words)]
-    whole = whole.join(first, "key").where("id > other").groupBy("id", "other", *run).agg(F.min(F.struct("at", "other_at")).alias("hit"))
-    hits = shared.where("id > other").select("id", "other", F.struct("at", "other_at").alias("hit")).union(whole.select("id", "other", "hit"))
-    hits = write_stage(hits.groupBy("id", "other").agg(F.collect_set("hit").alias("hits")), "passage-hits")
-    texts = texts.drop("spots")
-    pairs = hits.join(texts, "id").join(texts.select(F.col("id").alias("other"), F.col("text").alias("other_text")), "other")
+    def linked(shared: DataFrame, name: str) -> DataFrame:
+        """Common places of each pair. Stretches of one shift and part are of one equal run, and one of them is enough; each other place is a part of its own."""
+        hits = shared.where("id > other").groupBy("id", "other", F.col("at") - F.col("other_at"), "part").agg(F.min(F.struct("at", "other_at")).alias("hit"))
+        return write_stage(hits.groupBy("id", "other").agg(F.collect_list("hit").alias("hits")), name)
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "start", "end", "n_words", "other", "other_start"]
         for batch in batches:
-            rows, facts = [], []
+            rows, facts, runs = [], [], []
             left, right = text_words(batch.column(2)), text_words(batch.column(3))
             for r, ((x, at), (y, other_at)) in enumerate(zip(left, right, strict=True)):
                 hits = [(h["at"], h["other_at"]) for h in batch.column(4)[r].as_py()]
                 hits = [(i, j) for i, j in hits if i < len(x) and j < len(y)]
-                for a, b, c, _ in shared_blocks(x, y, hits, min_words):
-                    rows.append(r)
-                    facts.append((at[a], at[b] if b < len(at) else -1, b - a, other_at[c]))
+                for chain in chains(x, y, hits):
+                    for a, b, c, d in best_parts(x, y, chain):
+                        if b - a >= min_words:
+                            rows.append(r)
+                            facts.append((at[a], at[b] if b < len(at) else -1, b - a, other_at[c], a, b))
+                            runs.append([{"begin": u, "end": v} for u, v, w, z in chain if v - u >= min_words and a <= u and v <= b and c <= w and z <= d])
             if rows:
-                start, end, n, other = np.array(facts).T
+                start, end, n, other, first, stop = np.array(facts).T
                 take = pa.array(rows)
-                yield pa.record_batch([batch.column(0).take(take), pa.array(start), pa.array(end), pa.array(n), batch.column(1).take(take), pa.array(other)], names=names)
+                columns = [batch.column(0).take(take), pa.array(start), pa.array(end), pa.array(n), batch.column(1).take(take), pa.array(other)]
+                columns += [pa.array(first, pa.int32()), pa.array(stop, pa.int32()), pa.array(runs, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))]
+                yield pa.record_batch(columns, names=names)
+
+    names = ["id", "start", "end", "n_words", "other", "other_start", "first", "stop", "runs"]
+    shape = f"id {kind}, start bigint, end bigint, n_words bigint, other {kind}, other_start bigint, first int, stop int, runs array<struct<begin: int, end: int>>"
+
+    def checked(hits: DataFrame, name: str) -> DataFrame:
+        pairs = hits.join(texts.select("id", "text"), "id").join(texts.select(F.col("id").alias("other"), F.col("text").alias("other_text")), "other")
+        return write_stage(pairs.select("id", "other", "text", "other_text", "hits").mapInArrow(verified, shape), name)
+
+    keys = write_stage(docs.mapInArrow(keyed, f"id {kind}, key bigint, at int, last_at int"), "passage-keys")
+    first = write_stage(first_holders(keys), "passage-first")
+    shared = write_stage(keys.join(first, "key"), "passage-shared")
+    spots = shared.groupBy("id").agg(F.collect_set(F.struct("at", "last_at", "key", (F.col("id") == F.col("other")).cast("int").alias("head"))).alias("spots"))
+    texts = write_stage(docs.join(spots, "id"), "passage-texts")
+    found = checked(linked(shared.withColumn("part", -1 - F.col("at")), "passage-hits"), "passages")
 
-    shape = f"id {kind}, start bigint, end bigint, n_words bigint, other {kind}, other_start bigint"
-    found = pairs.select("id", "other", "text", "other_text", "hits").mapInArrow(verified, shape)
-    found = write_stage(found.distinct(), "passages")
+    # Runs of all links of a document: equal and nested ones are common among near copies, so each is held once.
+    own = found.groupBy("id").agg(
+        F.collect_set(F.struct(F.col("first").alias("begin"), F.col("stop").alias("end"))).alias("blocks"),
+        F.array_distinct(F.flatten(F.collect_set("runs"))).alias("runs"),
+    )
+    opened = texts.join(own, "id", "left").select("id", "text", "spots", "blocks", "runs")
+    whole = write_stage(opened.mapInArrow(second, f"id {kind}, key bigint, at int, part int"), "passage-second")
+    again = checked(linked(whole.join(first_holders(whole), "key"), "passage-second-hits"), "passages-second")
+    found = found.union(again).select("id", "start", "end", "n_words", "other", "other_start").distinct()
+    found = write_stage(found, "passages-all")
     parts = connected_components(found.select(F.col("id").alias("a"), F.col("other").alias("b")))
     sizes = texts.select("id", F.length("text").alias("size")).groupBy("id").agg(F.max("size").alias("size"))
     out = found.join(parts.withColumnRenamed("node", "id"), "id").join(sizes, "id")

@@ -95,7 +95,7 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
         return words
     size = min(size, len(words))
     n = len(words) - size + 1
-    out = np.full(n, np.uint64(size) * _MULT, np.uint64)
+    out = np.multiply(np.full(n, size, np.uint64), _MULT)
     for k in range(size):
         out = mix(out * _MULT + words[k : k + n])
     return out

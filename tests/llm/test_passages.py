@@ -127,3 +127,28 @@ def test_blocks_reach_over_gaps_from_one_hit():
     assert shared_blocks(x, parts, [(0, 0)], 50) == shared_blocks(x, parts, [(66, 66)], 50) == [(0, 60, 0, 60)]
     tick = np.tile(np.arange(3, dtype=np.uint64), 2000)
     assert shared_blocks(tick, tick[:3000], [(0, 0), (5998, 1)], 50)
+
+
+def test_edited_passages_past_a_holder_of_a_part(spark):
+    rng = random.Random(10)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], {}
+    for n in (50, 55, 60, 80):
+        for _ in range(75):
+            whole, i = fresh(n), len(rows)
+            edited = list(whole)
+            edited[n // 2] = "x"
+            for held in (whole[5 : n - 5], whole, edited):
+                rows.append((len(rows), " ".join(fresh(60) + held + fresh(40))))
+            want[(i + 2, i + 1)] = n
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    # Of 60 words the part has 50, which count as found themselves; of shorter ones only the whole passage does.
+    gone = {}
+    for r in repeated_passages(df).collect():
+        spans = [m.span() for m in WORD.finditer(rows[r.doc_id][1])]
+        gone.setdefault(r.doc_id, set()).update(k for k, (a, b) in enumerate(spans) if r.start <= a < r.end)
+    for n in (50, 55, 60, 80):
+        own = [i for (i, _), size in want.items() if size == n]
+        edge = 5 if n >= 60 else 0
+        met = sum(set(range(60 + edge, 60 + n - edge)) <= gone.get(i, set()) for i in own)
+        assert met >= 0.98 * len(own), (n, met)
