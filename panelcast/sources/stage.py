@@ -51,6 +51,18 @@ def write_stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Frees disk between the steps of a long job: removes tables of ``write_stage`` that no later step reads, and has
+    Spark's cleaner drop the shuffles of finished steps, whose results are written, at once instead of at the driver's next collection."""
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
+    own = f"/{sc.applicationId}/"
+    for folder in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
+        if own in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    jvm.java.lang.System.gc()
+
+
 def staged(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The stage table of ``source``, built on first use in this application.
 
