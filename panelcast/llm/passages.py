@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from panelcast.llm.components import connected_components
 from panelcast.llm.registry import query, table
 from panelcast.llm.words import LOWER, mix, shingle_hashes, slices, span_hashes, text_buffers, word_spans
-from panelcast.sources.stage import write_stage
+from panelcast.sources.stage import release, write_stage
 
 SHINGLE, WINDOW, CONTEXT, BANDS, GAP = 5, 40, 10, 4, 6
 PERCENT = 80
@@ -220,7 +220,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """One row per passage that an earlier document has: ``id_col``, ``start``, ``end`` (code points; the end is where
     the next word begins), ``n_words``, ``kept_id``, ``kept_start`` and ``component_id``."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    kind = docs.schema["id"].dataType.simpleString()
+    spark, kind = docs.sparkSession, docs.schema["id"].dataType.simpleString()
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,10 +287,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     keys = write_stage(docs.mapInArrow(keyed, f"id {kind}, key bigint, at int, last_at int"), "passage-keys")
     first = write_stage(first_holders(keys), "passage-first")
+    release(spark)
     shared = write_stage(keys.join(first, "key"), "passage-shared")
+    release(spark, keys, first)
     spots = shared.groupBy("id").agg(F.collect_set(F.struct("at", "last_at", "key", (F.col("id") == F.col("other")).cast("int").alias("head"))).alias("spots"))
     texts = write_stage(docs.join(spots, "id"), "passage-texts")
+    release(spark)
     found = checked(linked(shared.withColumn("part", -1 - F.col("at")), "passage-hits"), "passages")
+    release(spark, shared)
 
     # Runs of all links of a document: equal and nested ones are common among near copies, so each is held once.
     own = found.groupBy("id").agg(
@@ -299,7 +303,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
     opened = texts.join(own, "id", "left").select("id", "text", "spots", "blocks", "runs")
     whole = write_stage(opened.mapInArrow(second, f"id {kind}, key bigint, at int, part int"), "passage-second")
-    again = checked(linked(whole.join(first_holders(whole), "key"), "passage-second-hits"), "passages-second")
+    release(spark)
+    hits = linked(whole.join(first_holders(whole), "key"), "passage-second-hits")
+    release(spark, whole)
+    again = checked(hits, "passages-second")
+    release(spark)
     found = found.union(again).select("id", "start", "end", "n_words", "other", "other_start").distinct()
     found = write_stage(found, "passages-all")
     parts = connected_components(found.select(F.col("id").alias("a"), F.col("other").alias("b")))
