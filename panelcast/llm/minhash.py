@@ -187,7 +187,10 @@ def block_pairs(rest: pa.Table, other: pa.Table, percent: int) -> np.ndarray:
                 m[r[own], v[own] - low] = 1
             counts += a @ b.T
         common = counts[i, j].astype(np.int64)
-    common += 2  # two shingles of a text may share their 32 bits; links are confirmed later
+    # Shingles of a text that share their 32 bits count once here. A pair has at most as many more in common as the
+    # text with fewer such ones has lost, so no link is ruled out; links are confirmed later.
+    lost_x, lost_y = (n - np.array([len(np.unique(v)) for v in s]) for n, s in ((nx, sx), (ny, sy)))
+    common = common + np.maximum(2, np.minimum(lost_x[i], lost_y[j]))
     good = 100 * common >= percent * (nx[i] + ny[j] - common)
     return np.column_stack([i[good], j[good]])
 

@@ -77,3 +77,21 @@ def test_components_of_chains_and_hubs(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(201), 0), **dict.fromkeys([*range(1000, 1050), 2000], 1000)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_block_comparison_allows_for_shared_hash_bits():
+    import numpy as np
+    import pyarrow as pa
+
+    from panelcast.llm.minhash import BANDS, block_pairs
+
+    def side(first, count, size, values):
+        keys = [np.arange(BANDS, dtype=np.uint32).tobytes()] * count
+        sets = [np.repeat(values + 1000 * k, 2).astype(np.uint32).tobytes() for k in range(count)]
+        ids = list(range(first, first + count))
+        return pa.table({"id": ids, "n": [size] * count, "band": [0] * count, "c": ids, "main": [-1] * count, "keys": keys, "set": sets})
+
+    for count in (2, 6):  # compared one by one, and as a matrix
+        got = block_pairs(side(0, count, 100, np.arange(50)), side(100, count, 100, np.arange(50)), 80)
+        assert got.tolist() == [[k, k] for k in range(count)]
+        assert not len(block_pairs(side(0, count, 50, np.arange(50)), side(100, count, 50, np.arange(50) + 25), 80))
