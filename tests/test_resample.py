@@ -168,3 +168,21 @@ def test_swapped_predictions(spark, task_rows):
         assert got[k].n == len(own)
         assert abs(got[k].p_value - ((np.abs(sums) >= abs(g.sum()) * (1 - 1e-12)).sum() + 1) / 151) < 1e-12
         assert got[k].observed_diff is None if k == "a" else abs(got[k].observed_diff - (r2(a) - r2(b))) < 1e-9
+
+
+def test_words_of_many_draws_are_md5():
+    for seed, boot, n in ((42, 1, 1), (7, 2000, 45), (42, 31, 41_003)):
+        want = b"".join(hashlib.md5(f"{seed}|{boot}|{j}".encode()).digest() for j in range(-(-n // 4)))
+        np.testing.assert_array_equal(resample._words(seed, boot, n), np.frombuffer(want, ">u4"))
+
+
+def test_keys_of_a_task_share_the_words_of_its_draws(monkeypatch):
+    rng, made, words = np.random.default_rng(2), [], resample._words
+    monkeypatch.setattr(resample, "_words", lambda *a: made.append(a) or words(*a))
+    few = {i: (rng.integers(0, 2, n).astype(float), rng.integers(0, 3, n) / 3) for i, n in enumerate((400, 400, 150))}
+    got = resample._drawn_scores(few, resample.score_moments, range(1, 21), 9)
+    assert len(made) == 20 and all(n == 400 for *_, n in made)
+    for key, (y, p) in few.items():
+        at = np.array([words(9, b, len(y))[: len(y)] % len(y) for b in range(1, 21)])
+        want = np.sqrt(((y - p)[at] ** 2).mean(axis=1))
+        np.testing.assert_allclose(np.concatenate([g["rmse"] for g in got[key]]), want)
