@@ -49,38 +49,86 @@ SHINGLE, WINDOW, CONTEXT, BANDS, GAP = 5, 40, 10, 4, 6
 PERCENT = 80
 
 
-def text_words(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per text: hashes of its words and the code point at which each begins."""
+def word_slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts in slices: the first text, hashes of all words, the code point of its text at which each begins, and where the words of each text begin and end."""
     data, offsets = text_buffers(column)
     for a, b in slices(offsets):
         raw = data[offsets[a] : offsets[b]]
         start, end, row = word_spans(raw, offsets[a : b + 1] - offsets[a])
-        word = span_hashes(LOWER[raw], start, end)
         chars = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)]
         cuts = np.searchsorted(row, np.arange(b - a + 1))
-        for i in range(b - a):
-            own = slice(cuts[i], cuts[i + 1])
-            yield word[own], chars[start[own]] - chars[offsets[a + i] - offsets[a]]
+        yield a, span_hashes(LOWER[raw], start, end), chars[start] - chars[(offsets[a : b + 1] - offsets[a])[row]], cuts
 
 
-def band_keys(word: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of a text and their places; of repeats within a paragraph (as in periodic text) the first and the last place."""
-    if len(word) < max(min_words, WINDOW):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    shingle, context = shingle_hashes(word, SHINGLE), shingle_hashes(word, CONTEXT)
-    keys, places = [], []
+def text_words(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per text: hashes of its words and the code point at which each begins."""
+    for _, word, begins, cuts in word_slices(column):
+        for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+            yield word[first:last], begins[first:last]
+
+
+def lowest(h: np.ndarray, size: int, usable: np.ndarray) -> np.ndarray:
+    """Marks the first smallest place of each stretch of ``size`` values of ``h`` that is ``usable`` (by its begin).
+
+    Minima of stretches come from minima of ever longer ones. A value that is the largest of the minima of the stretches around
+    it is the minimum of one of them.
+    """
+
+    def over(f, values: np.ndarray) -> np.ndarray:
+        k = 1
+        while 2 * k <= size:
+            values, k = f(values[:-k], values[k:]), 2 * k
+        return f(values[: len(values) - size + k], values[size - k :]) if k < size else values
+
+    low = over(np.minimum, h)
+    low[~usable] = 0
+    none = np.zeros(size - 1, h.dtype)
+    out = h == over(np.maximum, np.concatenate([none, low, none]))
+    # Equal values near each other: the later one counts if a stretch that begins behind the earlier one has no smaller value.
+    at = np.flatnonzero(out)
+    tied = 1 + np.flatnonzero((at[1:] - at[:-1] < size) & (h[at[1:]] == h[at[:-1]]))
+    if len(tied):
+        at, before = at[tied], at[tied - 1]
+        first = np.zeros(len(tied), bool)
+        for k in range(size):
+            begin = np.clip(at - k, 0, len(low) - 1)
+            first |= (begin == at - k) & (begin > before) & (low[begin] == h[at])
+        out[at[~first]] = False
+    return out
+
+
+def slice_keys(word: np.ndarray, cuts: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, key, first and last place of the keys of texts whose words lie between ``cuts``, all texts at once.
+
+    Of repeats within a paragraph (as in periodic text) the first and the last place are told.
+    """
+    sizes = np.diff(cuts)
+    long = sizes >= max(min_words, WINDOW)
+    texts, word, sizes = np.flatnonzero(long), word[np.repeat(long, sizes)], sizes[long]
+    if not len(texts):
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    begin, of = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+    left = (begin + sizes)[of] - np.arange(len(word))  # words from here to the end of the text
+    shingle, keys, places = shingle_hashes(word, SHINGLE), [], []
     for band in range(BANDS):
         h = mix(shingle + np.uint64(band * 0x51ED270B9F3A6C15 & (1 << 64) - 1))
-        windows = np.lib.stride_tricks.sliding_window_view(h, WINDOW - SHINGLE + 1)
-        at = np.unique(np.arange(len(windows)) + windows.argmin(axis=1))
-        at = at[at < len(context)]
-        keys.append(mix(context[at] + np.uint64(band)))
+        at = np.flatnonzero(lowest(h, WINDOW - SHINGLE + 1, left[: len(word) - WINDOW + 1] >= WINDOW))
+        at = at[left[at] >= CONTEXT]
+        context = shingle_hashes(word[at + np.arange(CONTEXT)[:, None]], CONTEXT)[0]
+        keys.append(mix(context + np.uint64(band)))
         places.append(at)
     key, place = np.concatenate(keys).view(np.int64), np.concatenate(places)
-    order = np.lexsort((place, key))
+    order = np.lexsort((place, key, of[place]))
     key, place = key[order], place[order]
-    fresh = np.r_[True, (key[1:] != key[:-1]) | (place[1:] - place[:-1] > WINDOW)]
-    return key[fresh], place[fresh], place[np.r_[fresh[1:], True]]
+    text = of[place]
+    fresh = np.r_[True, (text[1:] != text[:-1]) | (key[1:] != key[:-1]) | (place[1:] - place[:-1] > WINDOW)]
+    place = place - begin[text]
+    return texts[text[fresh]], key[fresh], place[fresh], place[np.r_[fresh[1:], True]]
+
+
+def band_keys(word: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of a text and their first and last places."""
+    return slice_keys(word, np.array([0, len(word)]), min_words)[1:]
 
 
 def exact_keys(word: np.ndarray, first: np.ndarray, last: np.ndarray, size: int, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,12 +272,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [band_keys(word, min_words) for word, _ in text_words(batch.column(1))]
-            if found:
-                sizes = [len(k) for k, _, _ in found]
-                keys, places, ends = (np.concatenate(x) for x in zip(*found, strict=True))
-                ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
-                yield pa.record_batch([ids, pa.array(keys), pa.array(places, pa.int32()), pa.array(ends, pa.int32())], names=["id", "key", "at", "last_at"])
+            for first, word, _, cuts in word_slices(batch.column(1)):
+                texts, keys, places, ends = slice_keys(word, cuts, min_words)
+                ids = batch.column(0).take(pa.array(first + texts))
+                # Nearly every key has one place only, so that the distance to the last one takes hardly any disk.
+                yield pa.record_batch([ids, pa.array(keys), pa.array(places, pa.int32()), pa.array(ends - places, pa.int32())], names=["id", "key", "at", "span"])
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Keys of the second round: those outside all verified blocks, and stretches outside all equal runs."""
@@ -261,10 +308,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, facts, runs = [], [], []
-            left, right = text_words(batch.column(2)), text_words(batch.column(3))
+            left, right, spots = text_words(batch.column(2)), text_words(batch.column(3)), ranges(batch.column(4))
             for r, ((x, at), (y, other_at)) in enumerate(zip(left, right, strict=True)):
-                hits = [(h["at"], h["other_at"]) for h in batch.column(4)[r].as_py()]
-                hits = [(i, j) for i, j in hits if i < len(x) and j < len(y)]
+                i, j = spots(r, "at", "other_at")
+                there = (i < len(x)) & (j < len(y))
+                hits = list(zip(i[there].tolist(), j[there].tolist(), strict=True))
                 for chain in chains(x, y, hits):
                     for a, b, c, d in best_parts(x, y, chain):
                         if b - a >= min_words:
@@ -285,12 +333,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         pairs = hits.join(texts.select("id", "text"), "id").join(texts.select(F.col("id").alias("other"), F.col("text").alias("other_text")), "other")
         return write_stage(pairs.select("id", "other", "text", "other_text", "hits").mapInArrow(verified, shape), name)
 
-    keys = write_stage(docs.mapInArrow(keyed, f"id {kind}, key bigint, at int, last_at int"), "passage-keys")
+    keys = write_stage(docs.mapInArrow(keyed, f"id {kind}, key bigint, at int, span int"), "passage-keys")
     first = write_stage(first_holders(keys), "passage-first")
     release(spark)
     shared = write_stage(keys.join(first, "key"), "passage-shared")
     release(spark, keys, first)
-    spots = shared.groupBy("id").agg(F.collect_set(F.struct("at", "last_at", "key", (F.col("id") == F.col("other")).cast("int").alias("head"))).alias("spots"))
+    spots = shared.groupBy("id").agg(F.collect_set(F.struct("at", (F.col("at") + F.col("span")).alias("last_at"), "key", (F.col("id") == F.col("other")).cast("int").alias("head"))).alias("spots"))
     texts = write_stage(docs.join(spots, "id"), "passage-texts")
     release(spark)
     found = checked(linked(shared.withColumn("part", -1 - F.col("at")), "passage-hits"), "passages")
