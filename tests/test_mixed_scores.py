@@ -27,7 +27,7 @@ def test_scores_of_a_task_are_those_of_the_predictions(spark):
     long, summary, past = folds.long_folds(dealt, SEEDS), naive.train_summary(folds.long_folds(dealt, SEEDS)).cache(), tasks.raw_history(panel, grid)
     seen = past.select("task_key").distinct()
     months = {r.task_key: r.horizon_months for r in grid.collect()}
-    pred = mixed.predict_mixed(long, past, months, naive.carried_forward(long, seen, summary))
+    pred = mixed.predict_mixed(long, past, months, naive.carried_forward(long, seen, summary)).cache()
     want = {tuple(r)[:3]: tuple(r)[3:] for r in metrics.regression_metrics(pred, ["task_key", "seed", "fold"]).select("task_key", "seed", "fold", "n_test", "r2", "mae", "rmse", "pearson", "spearman").collect()}
     got = mixed.task_scores(dealt, panel, grid, summary, seen, months, SEEDS).drop("model")
     got = {tuple(r)[:3]: tuple(r)[3:] for r in got.select("task_key", "seed", "fold", "n_test", "r2", "mae", "rmse", "pearson", "spearman").collect()}
