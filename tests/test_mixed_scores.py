@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelcast import spec
 from panelcast.models import mixed, naive
-from panelcast.operators import folds, metrics, tasks
+from panelcast.operators import fold_metrics, folds, metrics, tasks
 from panelcast.plans.panel import grid_table
 
 SEEDS = (0, 1)
@@ -35,3 +35,23 @@ def test_scores_of_a_task_are_those_of_the_predictions(spark):
     assert any(v[1] != pytest.approx(0, abs=1e-3) for v in got.values())
     for k, v in got.items():
         assert v == pytest.approx(want[k], rel=1e-6, abs=1e-6), k
+    cols = ["task_key", "seed", "fold", "entity_id"]
+    stored = mixed.task_predictions(dealt, panel, grid, summary, seen, months, SEEDS).cache()
+    assert stored.columns == pred.columns
+    rows, asked = ({tuple(r)[:4]: tuple(r)[4:] for r in x.select(*cols, "y", "yhat").collect()} for x in (stored, pred))
+    assert rows.keys() == asked.keys() and len(rows) > 200
+    for k, v in rows.items():
+        assert v == pytest.approx(asked[k], rel=1e-6), k
+
+
+def test_scores_of_stored_predictions(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, s, f, m, float(rng.integers(0, 9)), None if i == 3 else float(rng.integers(0, 5))) for k in "ab" for m in ("one", "two") for s in (0, 7) for f in (0, 1) for i in range(9 if f else 4)]
+    pred = spark.createDataFrame(rows, "task_key string, seed int, fold int, model string, y double, yhat double")
+    keys = ["task_key", "seed", "fold", "model"]
+    cols = ["n_test", "r2", "mae", "rmse", "pearson", "spearman"]
+    got, want = ({tuple(r)[:4]: tuple(r)[4:] for r in x.select(*keys, *cols).collect()} for x in (fold_metrics.stored_scores(pred), metrics.regression_metrics(pred, keys)))
+    assert got.keys() == want.keys() and len(got) == 16
+    for k, v in got.items():
+        assert [x is None for x in v] == [x is None for x in want[k]]
+        assert [x for x in v if x is not None] == pytest.approx([x for x in want[k] if x is not None], abs=1e-9), k
